@@ -5,6 +5,7 @@ Null texts count as empty everywhere unless an operator says otherwise.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -38,6 +39,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # Spark drops shuffle files of plans that nothing refers to
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -147,6 +147,32 @@ def _state(words: Words, window: int, codes: np.ndarray, lens: np.ndarray, again
     return settled, (np.cumsum(open_[:-1]) > 0) & ~settled
 
 
+def _first(*keys: np.ndarray) -> np.ndarray:
+    """Places of one of each combination of keys."""
+    order = np.lexsort(keys[::-1])
+    return np.sort(order[run_bounds(*(k[order] for k in keys))]) if len(order) else order
+
+
+def _windows(words: Words, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number and two hashes of the windows that begin at words."""
+    hashes = word_hashes(words)
+    owner = np.searchsorted(words.first, at, side="right") - 1
+    return owner, Rolling(hashes).of(at, at + window), Rolling(hashes, _SECOND).of(at, at + window)
+
+
+def _alike(words: Words, open_: np.ndarray, found: np.ndarray, window: int) -> np.ndarray:
+    """The open windows that are equal to one found in the same text."""
+    found = np.intersect1d(found, open_)
+    if not len(found):
+        return found
+    owner, h, g = _windows(words, open_, window)
+    order = np.lexsort((g, h, owner))
+    start = run_bounds(owner[order], h[order], g[order])
+    size = np.diff(np.append(start, len(order)))
+    hit = np.isin(open_[order], found)
+    return open_[order][np.repeat(np.logical_or.reduceat(hit, start), size)]
+
+
 def mark(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """docs with kept_text (kept words one space apart), n_words and n_removed; carry: other columns to keep.
 
@@ -163,6 +189,8 @@ def mark(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: st
     def anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, values in slices(batches):
             owner, _, a, w = _anchors(words_of(values), window)
+            one = _first(owner, a, w)
+            owner, a, w = owner[one], a[one], w[one]
             if len(owner):
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(w.view(np.int64)), pa.array(batch.column(0).to_numpy()[owner])], ["a", "w", "id"])
 
@@ -179,10 +207,10 @@ def mark(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: st
             again, _ = _flat(batch.column(3))
             at = np.flatnonzero(_state(words, window, codes, lens, again)[1])
             if len(at):
-                hashes = word_hashes(words)
-                owner = np.searchsorted(words.first, at, side="right") - 1
-                made = [pa.array(r.of(at, at + window).view(np.int64)) for r in (Rolling(hashes), Rolling(hashes, _SECOND))]
-                yield pa.RecordBatch.from_arrays([*made, pa.array(batch.column(0).to_numpy()[owner]), pa.array((at - words.first[owner]).astype(np.int32))], ["h", "g", "id", "place"])
+                owner, h, g = _windows(words, at, window)
+                one = _first(owner, h, g)  # a window that a text repeats goes once
+                columns = [h[one].view(np.int64), g[one].view(np.int64), batch.column(0).to_numpy()[owner[one]], (at - words.first[owner])[one].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["h", "g", "id", "place"])
 
     found = hit.select("id", "text", "a", "again").mapInArrow(windows, "h long, g long, id long, place int").repartition("h").sortWithinPartitions("h", "g", "id")
     places = found.mapInArrow(_repeats, "id long, place int").groupBy("id").agg(F.collect_list("place").alias("places"))
@@ -194,10 +222,9 @@ def mark(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: st
             words = words_of(values)
             codes, lens = _flat(batch.column(2))
             again, _ = _flat(batch.column(3))
-            begins = _state(words, window, codes, lens, again)[0].astype(np.int64)
+            begins, open_ = _state(words, window, codes, lens, again)
             spots, many = _flat(batch.column(4))
-            at = np.repeat(words.first[:-1], many) + spots
-            begins[at[spots <= np.repeat(words.counts, many) - window]] = 1
+            begins[_alike(words, np.flatnonzero(open_), np.repeat(words.first[:-1], many) + spots, window)] = True
             cover = np.zeros(len(begins) + window, np.int64)
             starts = np.flatnonzero(begins)
             np.add.at(cover, starts, 1)
