@@ -92,19 +92,19 @@ def _settled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _repeats(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (h, g, id, place) to the rows whose id isn't the first of their (h, g)."""
+    """Sorted (h, g, id) to id and h of the rows whose id isn't the first of their (h, g)."""
     last: tuple[int, int, int] | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        h, g, i, place = (batch.column(k).to_numpy() for k in range(4))
+        h, g, i = (batch.column(k).to_numpy() for k in range(3))
         begin = run_bounds(h, g)
         lead = np.repeat(i[begin], np.diff(np.append(begin, len(h))))
         if last is not None and (h[0], g[0]) == last[:2]:
             lead[: begin[1] if len(begin) > 1 else len(h)] = last[2]
         on = i > lead
         if on.any():
-            yield pa.RecordBatch.from_arrays([pa.array(i[on]), pa.array(place[on])], ["id", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(i[on]), pa.array(h[on])], ["id", "h"])
         last = (h[-1], g[-1], lead[-1])
 
 
@@ -119,28 +119,14 @@ def _state(words: Words, window: int, codes: np.ndarray, lens: np.ndarray, again
     n = len(words.starts)
     owner, place, hashed, _ = _anchors(words, window)
     mine = np.repeat(np.arange(len(lens)), lens)
-    order = np.lexsort((codes, mine))
-    mine, codes, again = mine[order], codes[order], again[order]
-    # an anchor's hash may repeat inside a document: with and without a repeated extension; the anchors here are
-    # compared with the pairs of (text, hash) that step 1 gave, by the rank of both in their union
-    both_t, both_h = np.concatenate((mine, owner)), np.concatenate((codes, hashed.view(np.int64)))
-    rank = np.zeros(len(both_t), np.int64)
-    order = np.lexsort((both_h, both_t))
-    if len(order):
-        new = np.ones(len(order), bool)
-        new[1:] = (both_t[order][1:] != both_t[order][:-1]) | (both_h[order][1:] != both_h[order][:-1])
-        rank[order] = np.cumsum(new) - 1
-    size = int(rank.max()) + 1 if len(rank) else 0
-    known, every = np.zeros(size, bool), np.ones(size, bool)
-    known[rank[: len(mine)]] = True
-    np.logical_and.at(every, rank[: len(mine)], again)
-    at = rank[len(mine) :]
-    hit = known[at] if size else np.zeros(0, bool)
-    done = np.zeros(n + 1, np.int64)
-    open_ = np.zeros(n + 1, np.int64)
+    # an anchor's hash may repeat inside a document, with and without a repeated extension: then it settles nothing
+    code = hashed.view(np.int64)
+    hit = _among(owner, code, mine, codes)
+    open_too = _among(owner, code, mine[~again.astype(bool)], codes[~again.astype(bool)])
+    done, open_ = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
     base = words.first[owner]
     low, high = base + np.maximum(place - PERIOD + 1, 0), base + np.minimum(place, words.counts[owner] - window) + 1
-    for marks, on in ((done, hit & every[at] if size else hit), (open_, hit)):
+    for marks, on in ((done, hit & ~open_too), (open_, hit)):
         np.add.at(marks, low[on], 1)
         np.add.at(marks, high[on], -1)
     settled = np.cumsum(done[:-1]) > 0
@@ -160,17 +146,17 @@ def _windows(words: Words, at: np.ndarray, window: int) -> tuple[np.ndarray, np.
     return owner, Rolling(hashes).of(at, at + window), Rolling(hashes, _SECOND).of(at, at + window)
 
 
-def _alike(words: Words, open_: np.ndarray, found: np.ndarray, window: int) -> np.ndarray:
-    """The open windows that are equal to one found in the same text."""
-    found = np.intersect1d(found, open_)
-    if not len(found):
-        return found
-    owner, h, g = _windows(words, open_, window)
-    order = np.lexsort((g, h, owner))
-    start = run_bounds(owner[order], h[order], g[order])
+def _among(owner: np.ndarray, code: np.ndarray, found_owner: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Which (owner, code) are found; both sides without an order."""
+    both_o, both_c = np.concatenate((found_owner, owner)), np.concatenate((found, code))
+    if not len(both_o):
+        return np.zeros(0, bool)
+    order = np.lexsort((both_c, both_o))
+    start = run_bounds(both_o[order], both_c[order])
     size = np.diff(np.append(start, len(order)))
-    hit = np.isin(open_[order], found)
-    return open_[order][np.repeat(np.logical_or.reduceat(hit, start), size)]
+    out = np.zeros(len(order), bool)
+    out[order] = np.repeat(np.logical_or.reduceat((order < len(found)), start), size)
+    return out[len(found) :]
 
 
 def mark(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -209,11 +195,11 @@ def mark(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: st
             if len(at):
                 owner, h, g = _windows(words, at, window)
                 one = _first(owner, h, g)  # a window that a text repeats goes once
-                columns = [h[one].view(np.int64), g[one].view(np.int64), batch.column(0).to_numpy()[owner[one]], (at - words.first[owner])[one].astype(np.int32)]
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["h", "g", "id", "place"])
+                columns = [h[one].view(np.int64), g[one].view(np.int64), batch.column(0).to_numpy()[owner[one]]]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["h", "g", "id"])
 
-    found = hit.select("id", "text", "a", "again").mapInArrow(windows, "h long, g long, id long, place int").repartition("h").sortWithinPartitions("h", "g", "id")
-    places = found.mapInArrow(_repeats, "id long, place int").groupBy("id").agg(F.collect_list("place").alias("places"))
+    found = hit.select("id", "text", "a", "again").mapInArrow(windows, "h long, g long, id long").repartition("h").sortWithinPartitions("h", "g", "id")
+    repeats = found.mapInArrow(_repeats, "id long, h long").groupBy("id").agg(F.collect_list("h").alias("repeats"))
     columns = [f"c{k}" for k in range(len(carry))]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.select(key, *columns).schema.fields)
 
@@ -223,8 +209,10 @@ def mark(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: st
             codes, lens = _flat(batch.column(2))
             again, _ = _flat(batch.column(3))
             begins, open_ = _state(words, window, codes, lens, again)
-            spots, many = _flat(batch.column(4))
-            begins[_alike(words, np.flatnonzero(open_), np.repeat(words.first[:-1], many) + spots, window)] = True
+            found, many = _flat(batch.column(4))
+            at = np.flatnonzero(open_)
+            owner, h, _ = _windows(words, at, window)
+            begins[at[_among(owner, h.view(np.int64), np.repeat(np.arange(len(many)), many), found)]] = True
             cover = np.zeros(len(begins) + window, np.int64)
             starts = np.flatnonzero(begins)
             np.add.at(cover, starts, 1)
@@ -249,7 +237,7 @@ def mark(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: st
             )
 
     out = f"{schema}, kept_text string, n_words long, n_removed long"
-    changed = hit.join(places, "id", "left").select("id", "text", "a", "again", "places", key, *columns).mapInArrow(finish, out)
+    changed = hit.join(repeats, "id", "left").select("id", "text", "a", "again", "repeats", key, *columns).mapInArrow(finish, out)
     plain = joined.where("a is null").select("text", key, *columns).mapInArrow(untouched, out)
     whole = changed.unionByName(plain)
     return whole.select(F.col(key).alias(id_col), *[F.col(f"c{k}").alias(c) for k, c in enumerate(carry)], "kept_text", "n_words", "n_removed")
