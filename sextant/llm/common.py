@@ -5,7 +5,6 @@ Null texts count as empty everywhere unless an operator says otherwise.
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -19,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker unpacks at once; a longer text forms a chunk of its own.
 CHUNK_BYTES = 4 << 20
+#: Shuffle files go with the query that wrote them; a written table needs them no more.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -38,9 +39,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """df written as Parquet to the scratch folder and read back: computed once, and not again when executors go."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # Spark drops shuffle files of plans that nothing refers to
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
