@@ -1,8 +1,354 @@
-"""Queries of the engine over the test tables."""
+"""Queries of the engine over the test tables, and SQL with the same rows."""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import chunking
+from .functions import text as T
+from .operators import answers as A
+from .operators import evaluation as E
+from .operators import fusion, search
+from .operators import understanding as U
+from .plans import answering
+from .sources import files
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_TOKEN = r"[\p{L}\p{N}_\x{00c0}-\x{1ef9}]+"
+_WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def _stem(t: str) -> str:
+    return f"""CASE WHEN regexp_full_match({t}, '[a-z]+') THEN
+ CASE WHEN length({t}) > 4 AND {t} LIKE '%ies' THEN left({t}, length({t}) - 3) || 'y'
+ WHEN length({t}) > 5 AND regexp_matches({t}, '(ches|shes|sses|xes|zes)$') THEN left({t}, length({t}) - 2)
+ WHEN length({t}) > 4 AND {t} LIKE '%s' AND NOT regexp_matches({t}, '(ss|us|is)$') THEN left({t}, length({t}) - 1)
+ ELSE {t} END ELSE {t} END"""
+
+
+def _tokens(x: str) -> str:
+    return f"list_transform(regexp_extract_all(coalesce({x}, ''), '{_TOKEN}'), lambda w: {_stem('lower(w)')})"
+
+
+def _squeeze(x: str) -> str:
+    return f"trim(regexp_replace({x}, '{_WS}+', ' ', 'g'))"
+
+
+def _words(x: list[str]) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in x) + "]"
+
+
+def _contains(x: str, phrases: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({x}, '{p}')" for p in phrases) + ")"
+
+
+_BM25 = f"""WITH tok AS (SELECT doc_id, {_tokens('text')} AS tokens FROM documents),
+ post AS (SELECT doc_id, len(tokens) AS length, unnest(tokens) AS term FROM tok),
+ tf AS (SELECT doc_id, length, term, count(*) AS tf FROM post GROUP BY ALL),
+ df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+ stats AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM tok),
+ q AS (SELECT item_id, unnest({_tokens('text')}) AS term FROM benchmark),
+ qt AS (SELECT item_id, term, count(*) AS qtf FROM q GROUP BY ALL),
+ s AS (SELECT item_id, doc_id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * length / avgdl))) AS raw
+ FROM tf JOIN df USING (term) JOIN qt USING (term), stats GROUP BY ALL),
+ r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(raw, 9) DESC, doc_id) AS rank FROM s WHERE raw > 0)"""
+
+
+@query(_BM25 + " SELECT item_id, doc_id, rank, round(raw / max(raw) OVER (PARTITION BY item_id), 6) AS score FROM r WHERE rank <= 10")
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.bm25(_t(spark, sf_dir, "benchmark"), _t(spark, sf_dir, "documents"), "item_id", "text", "doc_id", "text", 10)
+
+
+@query(_BM25 + """ , h AS (SELECT item_id, rank, contains(d.text, b.text) AS relevant FROM r JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id) WHERE rank <= 10)
+ SELECT item_id, round(coalesce(1.0 / min(CASE WHEN relevant THEN rank END), 0.0), 6) AS rr, max(relevant AND rank <= 5) AS hit_at_5 FROM h GROUP BY item_id""")
+def mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items, docs = _t(spark, sf_dir, "benchmark"), _t(spark, sf_dir, "documents")
+    top = search.bm25(items, docs, "item_id", "text", "doc_id", "text", 10)
+    hits = top.join(docs.select("doc_id", F.col("text").alias("body")), "doc_id").join(items, "item_id").withColumn("relevant", F.col("body").contains(F.col("text")))
+    rr = E.reciprocal_rank(hits.select(F.col("item_id").alias("q"), "rank", "relevant"))
+    five = hits.groupBy("item_id").agg(F.max(F.col("relevant") & (F.col("rank") <= 5)).alias("hit_at_5"))
+    return rr.withColumnRenamed("q", "item_id").withColumn("rr", F.round("rr", 6)).join(five, "item_id")
+
+
+@query(f"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({_tokens('text')}) AS term FROM documents) GROUP BY term")
+def term_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.document_frequency(search.postings(_t(spark, sf_dir, "documents"), "doc_id", "text")[0])
+
+
+@query(f"SELECT doc_id, len({_tokens('text')}) AS n_tokens, array_to_string({_tokens('text')}, ' ') AS tokens FROM documents")
+def tokenize_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = T.tokenize(F.col("text"))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.size(tokens).cast("long").alias("n_tokens"), F.array_join(tokens, " ").alias("tokens"))
+
+
+@query("""WITH p AS (SELECT q.vec_id AS q_id, v.vec_id AS vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score
+ FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0),
+ r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, vec_id) AS rank FROM p) SELECT q_id, vec_id, rank, score FROM r WHERE rank <= 10""")
+def vector_topk_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _t(spark, sf_dir, "embeddings")
+    asked = vectors.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "q_id")
+    return search.vector_topk(asked, vectors, "q_id", "vec_id", "embedding", 10)
+
+
+@query("SELECT event_id, CASE WHEN value IS NULL OR isnan(value) THEN 0.0 ELSE greatest(0.0, least(1.0, 1 - value)) END AS score FROM events")
+def distance_to_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "events").select("event_id", search.distance_to_score(F.col("value")).alias("score"))
+
+
+@query()
+def hash_embedding_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.hash_embedding(_t(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
+@query(f"""WITH t AS (SELECT item_id, list_distinct({_tokens('text')}) AS a, list_distinct({_tokens("lead(text) OVER (ORDER BY item_id)")}) AS b FROM benchmark)
+ SELECT item_id, round(CASE WHEN len(a) > 0 AND len(b) > 0 THEN len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) ELSE 0.0 END, 6) AS jaccard FROM t""")
+def lexical_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _t(spark, sf_dir, "benchmark").select("item_id", "text", F.lead("text").over(Window.orderBy("item_id")).alias("next"))
+    return pairs.select("item_id", F.round(T.jaccard(T.tokenize(F.col("text")), T.tokenize(F.col("next"))), 6).alias("jaccard"))
+
+
+_LISTS = """WITH v AS (SELECT user_id AS q, event_id % 97 AS id, max(least(1.0, greatest(0.0, value / 100))) AS score FROM events WHERE event_type = 'view' GROUP BY ALL),
+ k AS (SELECT user_id AS q, event_id % 97 AS id, max(least(1.0, greatest(0.0, value / 100))) AS score FROM events WHERE event_type = 'click' GROUP BY ALL),
+ s AS (SELECT user_id AS q, event_id % 97 AS id, max(least(1.0, greatest(0.0, value / 100))) AS score FROM events WHERE event_type NOT IN ('view', 'click') GROUP BY ALL)"""
+
+
+def _lists(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    events = _t(spark, sf_dir, "events")
+    kind = F.col("event_type")
+    score = F.max(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("value") / 100))).alias("score")
+    return [events.where(on).groupBy(F.col("user_id").alias("q"), (F.col("event_id") % 97).alias("id")).agg(score) for on in (kind == "view", kind == "click", ~kind.isin("view", "click"))]
+
+
+@query(_LISTS + """, u AS (SELECT q, id, score AS v, 0.0 AS k, 0.0 AS s, 1 AS l FROM v UNION ALL SELECT q, id, 0.0, score, 0.0, 2 FROM k UNION ALL SELECT q, id, 0.0, 0.0, score, 3 FROM s),
+ g AS (SELECT q, id, max(v) AS v, max(k) AS k, max(s) AS s FROM u GROUP BY ALL), h AS (SELECT q, bool_or(l = 1) AS hv, bool_or(l = 2) AS hk, bool_or(l = 3) AS hs FROM u GROUP BY q)
+ SELECT q, id, round(v, 6) AS vector_score, round(k, 6) AS keyword_score, round(s, 6) AS section_score, round(CASE WHEN hv AND hk AND hs THEN greatest(0.7 * v + 0.3 * k, 0.65 * s + 0.35 * (0.7 * v + 0.3 * k))
+ WHEN hv AND hk THEN 0.7 * v + 0.3 * k WHEN hs THEN greatest(v, k, s) WHEN hv THEN v ELSE k END, 6) AS score FROM g JOIN h USING (q)""")
+def hybrid_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fusion.merge(*_lists(spark, sf_dir))
+    return found.select("q", "id", *[F.round(c, 6).alias(c) for c in ("vector_score", "keyword_score", "section_score", "score")])
+
+
+@query(_LISTS + """, u AS (SELECT 1 AS l, * FROM v UNION ALL SELECT 2, * FROM k UNION ALL SELECT 3, * FROM s),
+ r AS (SELECT *, row_number() OVER (PARTITION BY q, l ORDER BY score DESC, id) AS rank FROM u),
+ g AS (SELECT q, id, sum(1.0::DOUBLE / (60 + rank)) AS rrf, max(score) AS base FROM r GROUP BY ALL),
+ n AS (SELECT *, rrf / max(rrf) OVER (PARTITION BY q) AS rs FROM g), o AS (SELECT *, least(1.0, 0.85 * base + 0.15 * rs) AS score FROM n),
+ p AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(rrf, 9) DESC, round(score, 9) DESC, id) AS place FROM o)
+ SELECT q, id, place, round(score, 6) AS score FROM p WHERE place <= 5""")
+def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("q").orderBy(F.col("score").desc(), "id")
+    one, two, three = (df.withColumn("rank", F.row_number().over(w)) for df in _lists(spark, sf_dir))
+    return fusion.rrf(one.unionByName(two).unionByName(three), 5).select("q", "id", "place", F.round("score", 6).alias("score"))
+
+
+@query(_LISTS + " SELECT q, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, id) AS rank FROM v WHERE score >= 0.3) WHERE rank <= 5")
+def threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.threshold_topk(_lists(spark, sf_dir)[0], 0.3, 5).select("q", "id", "rank")
+
+
+@query()
+def mmr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items, docs = _t(spark, sf_dir, "benchmark"), _t(spark, sf_dir, "documents")
+    top = search.bm25(items, docs, "item_id", "text", "doc_id", "text", 40)
+    rows = top.join(docs.select("doc_id", T.tokenize(F.col("text")).alias("terms")), "doc_id").join(items.select("item_id", T.tokenize(F.col("text")).alias("query_terms")), "item_id")
+    return fusion.mmr(rows.select(F.col("item_id").alias("q"), F.col("doc_id").alias("id"), "score", "terms", "query_terms"), 5)
+
+
+_INTENT = "CASE " + " ".join(f"WHEN {_contains('lower(text)', p)} THEN '{k}'" for k, p in U.INTENTS.items()) + " ELSE 'qa' END"
+
+
+@query(f"SELECT conv_id, turn, {_INTENT} AS intent FROM conversations WHERE text IS NOT NULL")
+def intent_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", U.intent(F.col("text")).alias("intent"))
+
+
+@query(f"""SELECT conv_id, turn, regexp_matches(lower(text), '[{U.VIETNAMESE}]') OR len(list_intersect(string_split({_squeeze("translate(lower(text), 'đơư', 'dou')")}, ' '), {_words(U.VIETNAMESE_WORDS)})) > 0 AS vietnamese
+ FROM conversations WHERE text IS NOT NULL""")
+def vietnamese_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", U.is_vietnamese(F.col("text")).alias("vietnamese"))
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, {_tokens('text')} AS k FROM conversations)
+ SELECT conv_id, turn, CASE WHEN coalesce(list_contains({_words(U.YES_NO)}, k[1]), false) OR len(list_intersect(k, {_words(U.CLAIM_MARKERS)})) > 0 THEN 'claim_verification' ELSE 'answer' END AS behavior FROM t""")
+def behavior_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", U.behavior(F.col("text")).alias("behavior"))
+
+
+_STRIP = f"regexp_replace(%s, '^{_WS}+|{_WS}+$', '', 'g')"
+_LAST = f"""last_value(CASE WHEN role = 'user' AND coalesce(text, '') <> '' THEN {_STRIP % 'text'} END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+
+
+@query(f"SELECT conv_id, turn, {_LAST} AS previous FROM conversations")
+def last_user_message(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return U.with_last_user_message(_t(spark, sf_dir, "conversations")).select("conv_id", "turn", "previous")
+
+
+@query(f"""WITH p AS (SELECT conv_id, turn, {_STRIP % 'text'} AS q, {_LAST} AS previous FROM conversations),
+ t AS (SELECT *, regexp_extract_all(lower(q), '{_TOKEN}') AS k FROM p)
+ SELECT conv_id, turn, CASE WHEN len(k) > 0 AND (len(list_intersect(k, {_words(U.FOLLOW_WORDS)})) > 0 OR {_contains('lower(q)', U.FOLLOW_PHRASES)} OR (NOT list_contains({_words(U.STARTERS)}, k[1]) AND len(k) <= 3))
+ AND coalesce(previous, '') <> '' THEN previous || chr(10) || 'Follow-up: ' || q ELSE q END AS query FROM t WHERE q IS NOT NULL""")
+def followup_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = U.with_last_user_message(_t(spark, sf_dir, "conversations")).where("text is not null")
+    return rows.select("conv_id", "turn", U.rewrite_follow_up(F.col("text"), F.col("previous")).alias("query"))
+
+
+@query()
+def claim_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.concat(F.lit("Does the paper say that "), F.col("text"), F.lit("?"))
+    return _t(spark, sf_dir, "benchmark").select("item_id", U.rewrite_claim(said).alias("query"))
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, {_INTENT} AS kind, len({_tokens('text')}) <= 7 AND len(list_filter({_tokens('text')}, lambda w: (length(w) > 2 OR w = 'ai') AND NOT list_contains({_words(T.RETRIEVAL_STOPS)}, w))) <= 3 AS short
+ FROM conversations WHERE text IS NOT NULL), k AS (SELECT *, CASE WHEN kind = 'summary' THEN 10 WHEN kind <> 'qa' THEN 7 WHEN short THEN 4 ELSE 5 END AS top_k FROM t)
+ SELECT conv_id, turn, top_k, CASE WHEN kind = 'summary' THEN 0.0 WHEN kind <> 'qa' THEN 0.2 WHEN short THEN 0.35 ELSE 0.3 END::DOUBLE AS threshold,
+ greatest(CASE WHEN kind <> 'qa' OR short THEN 6 * top_k ELSE 8 * top_k END, CASE WHEN kind = 'summary' THEN 60 WHEN kind <> 'qa' THEN 50 WHEN short THEN 30 ELSE 40 END) AS candidate_k, kind <> 'qa' AS force_parent FROM k""")
+def retrieval_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", U.retrieval_plan(F.col("text")).alias("p")).select("conv_id", "turn", "p.*")
+
+
+@query(f"""WITH n AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE text <> ''), w AS (SELECT doc_id, unnest(range(0, greatest(0, ceil((n - 900) / 750.0))::BIGINT + 1)) AS i, text FROM n)
+ SELECT doc_id, i AS place, {_STRIP % "substr(text, i * 750 + 1, 900)"} AS chunk FROM w WHERE {_STRIP % "substr(text, i * 750 + 1, 900)"} <> ''""")
+def window_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    last = F.greatest(F.lit(0), F.ceil((F.length(text) - 900) / F.lit(750))).cast("int")
+    rows = _t(spark, sf_dir, "documents").where("text <> ''").select("doc_id", text, F.explode(F.sequence(F.lit(0), last)).alias("place"))
+    cut = rows.select("doc_id", F.col("place").cast("long").alias("place"), T.strip(F.substring(text, F.col("place") * 750 + 1, F.lit(900))).alias("chunk"))
+    return cut.where("chunk <> ''")
+
+
+@query("SELECT doc_id, CASE WHEN length(text) <= 3000 THEN text ELSE regexp_replace(substr(text, 1, 3000), ' [^ ]*$', '') END AS parent FROM documents")
+def parent_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select("doc_id", T.trim_parent(F.col("text")).alias("parent"))
+
+
+@query("SELECT doc_id, regexp_replace(regexp_replace(text, '[ \\t\\f\\x0b]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g') AS text FROM documents")
+def collapse_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select("doc_id", T.collapse(F.col("text")).alias("text"))
+
+
+@query("SELECT lang, count(*) AS n, min(length(coalesce(text, ''))) AS shortest, max(length(coalesce(text, ''))) AS longest, round(avg(length(coalesce(text, ''))), 2) AS mean, sum(length(coalesce(text, '')))::BIGINT AS total FROM documents GROUP BY lang")
+def text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").groupBy("lang").agg(*files.text_stats(F.col("text")))
+
+
+@query(f"SELECT doc_id, CASE WHEN length({_squeeze('text')}) <= 120 THEN {_squeeze('text')} ELSE substr({_squeeze('text')}, 1, 117) || '...' END AS short FROM documents")
+def shorten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select("doc_id", T.shorten(F.col("text"), 120).alias("short"))
+
+
+@query()
+def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select("doc_id", chunking.clean(F.col("text")).alias("text"))
+
+
+def _document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents")
+    return docs.select(chunking.clean(F.col("text")).alias("text"), F.col("doc_id").cast("string").alias("file_id"), F.concat(F.lit("doc_"), F.col("doc_id")).alias("file_name"), F.lit(1).alias("page"), F.lit(None).cast("int").alias("paragraph_index"))
+
+
+@query()
+def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunk(_document_rows(spark, sf_dir))
+
+
+@query("""WITH m AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS b FROM conversations WHERE role IN ('user', 'assistant') AND trim(coalesce(text, '')) <> '')
+ SELECT conv_id, string_agg(upper(role[1]) || role[2:] || ': ' || """ + _STRIP % "text" + """, chr(10) ORDER BY turn) AS history FROM m WHERE b <= 8 GROUP BY conv_id""")
+def chat_history_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.chat_history(_t(spark, sf_dir, "conversations"))
+
+
+@query()
+def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items, docs = _t(spark, sf_dir, "benchmark"), _t(spark, sf_dir, "documents")
+    top = search.bm25(items, docs, "item_id", "text", "doc_id", "text", 10).join(docs, "doc_id")
+    return A.context(top.select(F.col("item_id").alias("q"), "rank", F.col("source").alias("file_name"), F.lit(1).alias("page"), F.col("doc_id").alias("chunk_id"), "text"))
+
+
+@query(f"SELECT conv_id, turn, lower({_squeeze('text')}) IN ('{A.REFUSAL_EN.lower()}', '{A.REFUSAL_VI.lower()}') AS refusal, regexp_matches(text, '\\[\\d+(\\s*,\\s*\\d+)*\\]') AS cited, {_contains('lower(' + _squeeze('text') + ')', E.UNSUPPORTED)} AS unsupported FROM conversations WHERE text IS NOT NULL")
+def refusal_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    return _t(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", A.is_refusal(text).alias("refusal"), text.rlike(A.CITATION).alias("cited"), E.claim_unsupported(text).alias("unsupported"))
+
+
+@query()
+def answer_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = U.with_last_user_message(_t(spark, sf_dir, "conversations")).where("role = 'assistant' and text is not null")
+    return turns.select("conv_id", "turn", A.normalize_answer(F.col("text"), F.coalesce("previous", F.lit("")), F.lit(True)).alias("answer"))
+
+
+@query()
+def context_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items, docs = _t(spark, sf_dir, "benchmark"), _t(spark, sf_dir, "documents")
+    top = search.bm25(items, docs, "item_id", "text", "doc_id", "text", 1).join(docs.select("doc_id", F.col("text").alias("body")), "doc_id").join(items, "item_id")
+    return top.select("item_id", A.support(F.col("text"), F.col("body"), F.col("score"), F.lit(0.0)).alias("support"))
+
+
+@query("""WITH k AS (SELECT doc_id, lower(text) AS t, list_filter(list_transform(string_split(lang || '; ' || source || ' ;the', ';'), lambda x: trim(x)), lambda x: x <> '') AS k FROM documents)
+ SELECT doc_id, round(len(list_filter(k, lambda x: contains(coalesce(t, ''), lower(x)))) / len(k), 6) AS rate FROM k""")
+def keyword_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = E.parse_keywords(F.concat(F.col("lang"), F.lit("; "), F.col("source"), F.lit(" ;the")))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.round(E.keyword_rate(words, F.col("text")), 6).alias("rate"))
+
+
+@query("""WITH b AS (SELECT event_id, event_id % 3 > 0 AS a, event_id % 4 > 0 AS p, event_id % 5 > 1 AS h, event_id % 7 AS n, (event_id % 7) / 7.0 AS r, (event_id % 11) / 11.0 AS t FROM events),
+ s AS (SELECT event_id, CASE WHEN a AND p AND h THEN CASE WHEN r < 0.3 THEN 'WARNING/PAGE_HIT_KEYWORD_LOW' ELSE 'OK/OK' END WHEN a AND p THEN CASE WHEN r >= 0.3 THEN 'FAIL/PAGE_MISMATCH' WHEN n > 0 THEN 'FAIL/ENTITY_MATCH_WRONG_EVENT' ELSE 'FAIL/RETRIEVAL_MISS' END
+ WHEN a AND r < 0.3 THEN CASE WHEN n > 0 THEN 'FAIL/ENTITY_MATCH_WRONG_EVENT' ELSE 'FAIL/RETRIEVAL_MISS' END WHEN t < 0.25 THEN 'WARNING/LOW_CONFIDENCE_RETRIEVAL' WHEN NOT a AND t >= 0.6 THEN 'WARNING/OOS_HIGH_CONFIDENCE' ELSE 'OK/OK' END AS s FROM b)
+ SELECT event_id, s AS status FROM s""")
+def retrieval_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("event_id")
+    s = E.retrieval_status(n % 3 > 0, n % 4 > 0, n % 5 > 1, n % 7, (n % 7) / 7.0, (n % 11) / 11.0)
+    return _t(spark, sf_dir, "events").select("event_id", s.alias("s")).select("event_id", F.concat_ws("/", "s.status", "s.reason").alias("status"))
+
+
+@query("""SELECT count(*) AS total_questions, count(*) FILTER (q = 1) AS answerable_questions, count(*) FILTER (q <> 1) AS unanswerable_questions, round(coalesce(avg(CASE WHEN q = 1 THEN (doc_id % 10) / 10.0 END), 0.0), 6) AS mean_keyword_hit_rate,
+ round(coalesce(avg(CASE WHEN q = 1 THEN 1.0 / (1 + doc_id % 5) END), 0.0), 6) AS mrr, round(avg(toxic::DOUBLE), 6) AS expected_behavior_accuracy FROM (SELECT doc_id, quality AS q, toxic FROM labels)""")
+def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    return E.summarize(_t(spark, sf_dir, "labels").select((F.col("quality") == 1).alias("is_answerable"), ((d % 10) / 10.0).alias("keyword_rate"), (1.0 / (1 + d % 5)).alias("rr"), F.col("toxic").cast("double").alias("behavior_accuracy")))
+
+
+@query("""WITH r AS (SELECT doc_id AS item, quality * 2 + toxic AS stratum, row_number() OVER (PARTITION BY quality * 2 + toxic ORDER BY doc_id) AS n FROM labels)
+ SELECT item, stratum FROM r ORDER BY n > 5, item LIMIT 30""")
+def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "labels").select(F.col("doc_id").alias("item"), (F.col("quality") * 2 + F.col("toxic")).alias("stratum"), F.col("doc_id").alias("ord"))
+    return E.stratified(rows, 30, 5)
+
+
+@query("SELECT conv_id, turn, sha256(encode(conv_id::VARCHAR) || '\\x00'::BLOB || encode(coalesce(text, '')) || '\\x00'::BLOB) AS cache_key FROM conversations")
+def cache_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", E.cache_key(F.col("conv_id"), F.col("text")).alias("cache_key"))
+
+
+@query()
+def answer_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), F.col("text").alias("question"))
+    chunks = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("file_name"), F.lit(1).alias("page"), "text")
+    return answering.answer(asked, chunks)
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
