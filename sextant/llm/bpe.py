@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 
 from .common import slices
 
-#: Parts and pieces that a worker keeps at most; a table starts anew beyond.
-KEPT = 700_000
+#: Parts, and pieces of parts, that a worker keeps at most; a table starts anew beyond.
+KEPT, KEPT_PIECES = 700_000, 350_000
 #: The longest piece, in bytes, that is merged together with others.
 SHORT = 40
 NONE = np.int32(1 << 30)
@@ -199,7 +199,7 @@ class Parts:
     def of_pieces(self, pieces: list[list[bytes]]) -> list[bytes]:
         """Ids of lists of pieces."""
         new = list({p for many in pieces for p in many} - self.pieces.keys())
-        if len(self.pieces) + len(new) > KEPT:
+        if len(self.pieces) + len(new) > KEPT_PIECES:
             self.pieces = {}
             new = list({p for many in pieces for p in many})
         self.pieces.update(zip(new, self.merges.batch(new), strict=True))
