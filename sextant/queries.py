@@ -11,7 +11,7 @@ from .functions import chunking
 from .functions import text as T
 from .operators import answers as A
 from .operators import evaluation as E
-from .operators import fusion, search
+from .operators import evidence, fusion, search
 from .operators import understanding as U
 from .plans import answering
 from .sources import files
@@ -174,6 +174,19 @@ def mmr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.mmr(rows.select(F.col("item_id").alias("q"), F.col("doc_id").alias("id"), "score", "terms", "query_terms"), 5)
 
 
+def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best documents of each benchmark passage, which stands for the question."""
+    items, docs = _t(spark, sf_dir, "benchmark"), _t(spark, sf_dir, "documents")
+    top = search.bm25(items, docs, "item_id", "text", "doc_id", "text", 5)
+    rows = top.join(docs.select("doc_id", "text"), "doc_id").join(items.select("item_id", F.col("text").alias("question")), "item_id")
+    return rows.select(F.col("item_id").alias("q"), F.col("doc_id").alias("id"), "question", "text", "score", F.lit(None).cast("string").alias("section_title"))
+
+
+@query()
+def entity_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.entity_filter(_passages(spark, sf_dir)).select("q", "id", F.round("score", 6).alias("score"), "entity_mismatch")
+
+
 _INTENT = "CASE " + " ".join(f"WHEN {_contains('lower(text)', p)} THEN '{k}'" for k, p in U.INTENTS.items()) + " ELSE 'qa' END"
 
 
