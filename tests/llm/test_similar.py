@@ -72,6 +72,26 @@ def test_keeps_one_of_each_group(spark):
     assert kept.columns == frame.columns and {r["doc_id"] for r in kept.collect()} == {top(k) for k in root}
 
 
+def test_links_no_text_under_the_similarity(spark):
+    rows = []
+    for size in (12, 40, 120, 400):
+        for _ in range(12):
+            base = words(size)
+            for share in (1.0, 0.95, 0.9, 0.85, 0.8, 0.7):
+                cut = round(size * share)
+                rows.append((len(rows), " ".join(base[:cut] + words(size - cut))))
+    sets = {k: shingles(t) for k, t in rows}
+    link = {(a, b) for a, b in combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    want = {k: k for k in sets}
+    for _ in range(6):  # groups of at most six
+        for a, b in sorted(link):
+            want[a] = want[b] = min(want[a], want[b])
+    found = {r["doc_id"]: r["component_id"] for r in similar.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k for k in sets if found[k] != want[k] and want[found[k]] != want[k]} == set()  # nothing linked wrongly
+    missed = [k for k in sets if found[k] != want[k]]
+    assert len(missed) <= 0.05 * len(sets), missed
+
+
 def test_odd_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert similar.groups(empty).collect() == [] and similar.keep_one(empty).collect() == []
