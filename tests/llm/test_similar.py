@@ -33,7 +33,11 @@ def test_buckets_of_any_size():
     sig = np.random.default_rng(1).integers(0, 1 << 63, (8, 4), dtype=np.uint64)
     near = np.concatenate([sig[[k % 8]] ^ np.uint64(1 << (k % 50)) for k in range(200)])
     for size in (40, 200):
-        a, b = similar.bucket_pairs(np.zeros(size, np.int64), near[:size], 10)
+        a, b = similar.bucket_pairs(np.zeros(size, np.int64), np.arange(size), near[:size], 10)
+        none = similar.bucket_pairs(np.zeros(size, np.int64), np.arange(size) % 8, near[:size], 10)
+        hub, leaf = similar.stars(np.arange(size) // 100, near[:size], 10)
+        assert len(none[0]) == 0 and len(hub) == size - 8 * -(-size // 100)
+        assert all(x // 100 == y // 100 and x % 8 == y % 8 and x % 100 < 8 for x, y in zip(hub, leaf, strict=True))
         assert {(int(x) % 8, int(y) % 8) for x, y in zip(a, b, strict=True)} == {(k, k) for k in range(8)}
         assert len(set(forest(size, np.minimum(a, b), np.maximum(a, b)).tolist())) == 8
 
