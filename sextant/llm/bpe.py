@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import HELD, slices
 
 #: Parts, and pieces of parts, that a worker keeps at most; a table starts anew beyond.
 KEPT, KEPT_PIECES = 700_000, 350_000
@@ -356,15 +356,12 @@ class WordBpe(Parts):
         self.parts.update(zip(other, self.of_pieces(many), strict=True))
 
 
-_LOADED: dict[tuple[str, str], object] = {}
-
-
 def loaded(kind: type, path: str):
     """One instance for each worker and file."""
     key = (kind.__name__, path)
-    if key not in _LOADED:
-        _LOADED[key] = kind(path)
-    return _LOADED[key]
+    if key not in HELD:
+        HELD[key] = kind(path)
+    return HELD[key]
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -379,7 +376,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe: ByteBpe = loaded(ByteBpe, vocabulary)
         sha = hashlib.sha256
-        for batch, values in slices(batches):
+        for batch, values in slices(batches, keep=True):
             counts, ids_sha, text_sha, all_ids, texts = [], [], [], [], []
             for found in bpe.encode([v.decode("utf-8", "replace") for v in values]):
                 ids = np.frombuffer(found, "<u4").tolist()

@@ -5,6 +5,7 @@ Null texts count as empty everywhere unless an operator says otherwise.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -61,20 +62,39 @@ def fold_of(doc_id: str, folds: int):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds
 
 
-def slices(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Row ranges of about limit bytes of text, each with its texts as UTF-8 (null: empty)."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        column = batch.column(batch.schema.get_field_index(text))
-        column = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
-        ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
-        at = 0
-        while at < batch.num_rows:
-            base = int(ends[at - 1]) if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
-            yield batch.slice(at, to - at), [v or b"" for v in column.slice(at, to - at).to_pylist()]
-            at = to
+#: Tables that a worker keeps for the next tasks of an operator; another operator's first chunk drops them.
+HELD: dict = {}
+
+
+def trim() -> None:
+    """Give freed memory back: workers are kept after their tasks, and what they hold counts for all operators that follow."""
+    _POWERS.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not glibc
+
+
+def slices(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES, keep: bool = False) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Row ranges of about limit bytes of text, each with its texts as UTF-8 (null: empty); keep: of an operator that uses HELD."""
+    if not keep:
+        HELD.clear()
+    try:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = batch.column(batch.schema.get_field_index(text))
+            column = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
+            ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+            at = 0
+            while at < batch.num_rows:
+                base = int(ends[at - 1]) if at else 0
+                to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
+                yield batch.slice(at, to - at), [v or b"" for v in column.slice(at, to - at).to_pylist()]
+                at = to
+    finally:
+        trim()
 
 
 @dataclass
@@ -126,7 +146,7 @@ def powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
                 p[0] = 1
                 made.append(np.multiply.accumulate(p))
         have = _POWERS[base] = (made[0], made[1])
-        if size > 16 << 20:
+        if size > 8 << 20:
             del _POWERS[base]  # a very long text: not kept
     return have[0][:n], have[1][:n]
 

@@ -42,7 +42,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: s
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe: WordBpe = loaded(WordBpe, vocabulary)
-        for batch, values in slices(batches):
+        for batch, values in slices(batches, keep=True):
             row, piece, start, length, crc = [], [], [], [], []
             for k, found in enumerate(bpe.encode([v.decode("utf-8", "replace") for v in values])):
                 ids = found + end
