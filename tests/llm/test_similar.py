@@ -96,6 +96,37 @@ def test_links_no_text_under_the_similarity(spark):
     assert len(missed) <= 0.05 * len(sets), missed
 
 
+def test_large_windows_lose_no_pair_to_an_unverified_one():
+    sig = np.zeros((100, 4), np.uint64)
+    sig[1:, 0] = np.uint64((1 << 30) - 1)  # row 0 is within 50 bits of all others, which are equal but for their last bits
+    sig[1:, 1] = np.arange(1, 100)
+    pairs = set(zip(*(x.tolist() for x in similar.bucket_pairs(np.zeros(100, np.int64), np.arange(100), sig, 50)), strict=True))
+    assert {tuple(sorted(p)) for p in pairs} == set(combinations(range(100), 2))
+    dense = []
+    assert len(similar.bucket_pairs(np.zeros(100, np.int64), np.arange(100), sig, 50, dense)[0]) == 0 and dense == [(0, 100)]
+    links = {tuple(sorted(p)) for a, b, sure in similar.dense_pairs(np.arange(100), sig, np.zeros(100, bool), 50, 5, 20) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    assert links == set(combinations(range(1, 100), 2))
+    joined = [(int(x), int(y)) for a, b, sure in similar.dense_pairs(np.arange(100), sig, np.ones(100, bool), 50, 20, 20) for x, y in zip(a, b, strict=True) if sure.all()]
+    label = forest(100, *np.array([sorted(p) for p in joined]).T)
+    assert (label == [0, *[1] * 99]).all()
+
+
+def test_dense_windows_are_settled_by_whole_fingerprints(spark):
+    gen = np.random.default_rng(2)
+    bits = np.tile(gen.integers(0, 2, 1024, dtype=np.uint8), (150, 1))
+    for k in range(0, 150, 2):  # two of a family differ in about 200 bits, about 45 of the first 256; twins in 5
+        flip = gen.choice(np.setdiff1d(np.arange(1024), np.arange(256, 272)), 110, replace=False)
+        bits[k : k + 2, flip] ^= 1
+        bits[k + 1, 600:605] ^= 1
+    rows = [(k + 1, k + 1, np.packbits(b).tobytes(), 500) for k, b in enumerate(bits)]
+    classes = spark.createDataFrame(rows, "node long, root long, bits binary, n long")
+    found = similar.candidates(classes, 60, 16, 1, False)
+    for sure in (0, 20):
+        links = similar.settled(found.where("key is not null"), classes, 60, sure, 100).collect()
+        assert {(min(r["a"], r["b"]), max(r["a"], r["b"]), r["sure"]) for r in links} == {(k, k + 1, sure == 20) for k in range(1, 150, 2)}
+    assert found.where("key is null").count() == 0
+
+
 def test_odd_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert similar.groups(empty).collect() == [] and similar.keep_one(empty).collect() == []
