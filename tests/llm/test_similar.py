@@ -96,6 +96,15 @@ def test_links_no_text_under_the_similarity(spark):
     assert len(missed) <= 0.05 * len(sets), missed
 
 
+def test_finds_pairs_just_at_the_limit(spark):
+    rows = []
+    for k in range(600):  # 234 shingles each, 208 of them shared: exactly 0.8
+        base = words(212)
+        rows += [(2 * k, " ".join(base + words(26))), (2 * k + 1, " ".join(base + words(26)))]
+    found = {r["doc_id"]: r["component_id"] for r in similar.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(found[2 * k] != found[2 * k + 1] for k in range(600)) <= 3
+
+
 def test_large_windows_lose_no_pair_to_an_unverified_one():
     sig = np.zeros((100, 4), np.uint64)
     sig[1:, 0] = np.uint64((1 << 30) - 1)  # row 0 is within 50 bits of all others, which are equal but for their last bits
