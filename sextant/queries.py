@@ -118,7 +118,7 @@ def distance_to_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def hash_embedding_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.hash_embedding(_t(spark, sf_dir, "benchmark"), "item_id", "text")
+    return search.hash_embedding(_t(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @query(f"""WITH t AS (SELECT item_id, list_distinct({_tokens('text')}) AS a, list_distinct({_tokens("lead(text) OVER (ORDER BY item_id)")}) AS b FROM benchmark)
