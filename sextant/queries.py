@@ -292,9 +292,9 @@ def chat_history_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items, docs = _t(spark, sf_dir, "benchmark"), _t(spark, sf_dir, "documents")
-    top = search.bm25(items, docs, "item_id", "text", "doc_id", "text", 10).join(docs, "doc_id")
-    return A.context(top.select(F.col("item_id").alias("q"), "rank", F.col("source").alias("file_name"), F.lit(1).alias("page"), F.col("doc_id").alias("chunk_id"), "text"))
+    items, chunks = _t(spark, sf_dir, "benchmark"), chunk_documents(spark, sf_dir)
+    top = search.bm25(items, chunks, "item_id", "text", "chunk_id", "text", 10).join(chunks, "chunk_id")
+    return A.context(top.select(F.col("item_id").alias("q"), "rank", "file_name", "page", "chunk_id", "text"))
 
 
 @query(f"SELECT conv_id, turn, lower({_squeeze('text')}) IN ('{A.REFUSAL_EN.lower()}', '{A.REFUSAL_VI.lower()}') AS refusal, regexp_matches(text, '\\[\\d+(\\s*,\\s*\\d+)*\\]') AS cited, {_contains('lower(' + _squeeze('text') + ')', E.UNSUPPORTED)} AS unsupported FROM conversations WHERE text IS NOT NULL")
@@ -355,7 +355,7 @@ def cache_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def answer_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), F.col("text").alias("question"))
-    chunks = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("file_name"), F.lit(1).alias("page"), "text")
+    chunks = chunk_documents(spark, sf_dir).select("chunk_id", "file_name", "page", "text")
     return answering.answer(asked, chunks)
 
 

@@ -27,3 +27,14 @@ def test_every_document_is_embedded(spark, tmp_path):
         want |= {(doc, k): x / norm for k, x in v.items() if abs(x) > 1e-9}
     found = {(r["doc_id"], r["idx"]): r["value"] for r in engine.queries()["hash_embedding_sparse"](spark, str(tmp_path)).collect()}
     assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 2e-6 for k in want)
+
+
+def test_a_passage_inside_a_long_document_reaches_context_and_answer(spark, tmp_path):
+    filler = " ".join(f"Plain sentence number {k} talks about nothing." for k in range(200))
+    long = f"{filler} The zyzzyva weevil eats marantaceae roots. {filler}"
+    spark.createDataFrame([(1, long, "s"), (2, filler, "s")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "zyzzyva weevil marantaceae")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    context = engine.queries()["context_budget"](spark, str(tmp_path)).collect()
+    assert len(context) == 1 and "zyzzyva weevil eats" in context[0]["context"] and "Chunk ID: 1_page_1_chunk_" in context[0]["context"]
+    answer = engine.queries()["answer_batch"](spark, str(tmp_path)).collect()
+    assert len(answer) == 1 and answer[0]["support"] == "STRONG_SUPPORT"
