@@ -42,7 +42,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = fold_of("id", 5)
     found = toxicity.score(_docs(spark, sf_dir), _table(spark, sf_dir, "labels"), fold != 0)
-    return found.select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+    return found.select("doc_id", F.coalesce(fold_of("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op5_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -160,21 +160,63 @@ def test_op3_links_of_dense_fingerprints(spark):
     assert sorted(groups.values()) == sorted(own.values())
 
 
-def test_op4_finds_toxic_documents(rows, spark):
-    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
-    found = {r["doc_id"]: r for r in rows("op4_toxicity")}
-    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for i, r in found.items())
-    flagged = [i for i in labels if i in found and found[i]["predicted"]]
-    assert sum(labels[i] for i in flagged) >= 0.9 * len(flagged)
+def test_op4_finds_held_out_toxic_documents(spark):
+    """By language, on rows that nothing was learned from. A twentieth of the toxic labels of this table mark texts without a toxic word."""
+    root = "/root/testdata/sf0.1"
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{root}/labels.parquet").collect()}
+    lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{root}/documents.parquet").select("doc_id", "lang").collect()}
+    found = queries()["op4_toxicity"](spark, root).collect()
+    assert len(found) == len(lang)
+    held: dict = {}
+    for r in found:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5)
+        if r["held_out"] and r["doc_id"] in labels:
+            held.setdefault((lang[r["doc_id"]], labels[r["doc_id"]]), []).append(r["predicted"])
+    for code in ("en", "fr", "de", "es"):
+        assert sum(held[code, 1]) >= 0.8 * len(held[code, 1]), code
+        assert sum(held[code, 0]) <= 0.05 * len(held[code, 0]), code
+    toxic = [x for (_, y), v in held.items() if y for x in v]
+    assert len(toxic) > 90 and sum(toxic) >= 0.9 * len(toxic)
 
 
 def test_op4_grammar():
-    kinds = lambda text: {t for i, t in enumerate(toxicity.TYPES) if toxicity.mask_of(text) >> i & 1}
-    assert kinds("You are an idiot.") == {"insultd"}
-    assert kinds("She is not an idiot.") == {"insultnd"}
-    assert kinds('The paper said "idiot" once.') == {"insultr"}
-    assert kinds("I will kill you") == {"threatd"} and kinds("Kill the process. You wait.") == {"threat"}
-    assert kinds("") == set() and toxicity.prior("insultd") > toxicity.prior("insult") > toxicity.prior("insultn")
+    weight = {"insult": 4.0, "threat": 1.0}
+    words = toxicity.Lexicon({"idiot$": ("insult", weight["insult"]), "kill$": ("threat", weight["threat"]), "glorb": ("learned", 3.0), "glorbina$": ("learned", 0.0)}, -2.0)
+    negated, reported, directed = toxicity.ADDED.values()
+    assert words.clause("you are an idiot") == {"idiot": 4.0 + directed} == words.clause("idiot that you are")
+    assert words.clause("she is not an idiot") == {"idiot": 4.0 + negated + directed}
+    assert words.clause("nobody is no more nor less of the idiot") == {"idiot": 4.0}
+    assert words.clause('the paper said "idiot" once') == {"idiot": 4.0 + reported}
+    assert words.clause("i will kill you") == {"kill": 1.0 + directed} and words.clause("glorben glorbina") == {"glorben": 3.0}
+    assert words.odds("") == -2.0 and words.odds("Kill the process. You wait.") == -1.0
+    assert words.odds("An idiot! You idiot, idiot.") == -2.0 + 4.0 + directed  # once, where it weighs most
+    assert words.odds("The idiot. Glorb.") == -2.0 + 4.0 + 3.0 and 0 < words.score("a" * 10**6) < 0.5
+
+
+def test_op4_learns_words_and_stems(spark):
+    rng = random.Random(5)
+    filler = lambda: " ".join(f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.randrange(60)}" for _ in range(40))
+    data, marks = [], []
+    for i in range(400):
+        y = i % 4 == 0
+        word = ("zwaddle" if i % 8 else f"murxi{rng.choice('abcdefghij')}{rng.choice('klmnop')}") if y else rng.choice(["zwadd", "murmel", "bread"])
+        data.append((i, f"{filler()}. The {word} {filler()}"))
+        marks.append((i, int(y)))
+    data += [(1000 + k, data[3][1]) for k in range(30)]  # copies of a clean text teach once
+    frame = spark.createDataFrame(data, "doc_id long, text string")
+    lexicon = toxicity.learn(frame, spark.createDataFrame(marks + [(1000 + k, 1) for k in range(30)], "doc_id long, toxic int"))
+    learned = {a: w for a, (k, w) in lexicon.arcs.items() if k == "learned" and w > 0}
+    assert {"zwaddle$", "murxi"} <= set(learned) and all(a == "zwaddle$" or a.startswith("murxi") for a in learned)
+    assert lexicon.read("murxizz")[0] == "learned" and lexicon.read("murmel")[0] == "w" == lexicon.read("zwadd")[0]
+    train = toxicity.learn(frame, spark.createDataFrame(marks, "doc_id long, toxic int"), toxicity.F.col("id") < 0)
+    assert not [a for a, (k, _) in train.arcs.items() if k == "learned"]
+
+
+def test_op4_keep_has_all_columns_and_rows(spark, odd):
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    frame = odd.selectExpr("*", "1 as toxic_id", "'x' as score").unionByName(odd.limit(1).selectExpr("doc_id", "'You are a worthless idiot' text", "lang", "source", "n_chars", "id", "a", "Text2", "1 toxic_id", "'x' score"))
+    kept = toxicity.keep(frame, labels)
+    assert kept.columns == frame.columns and sorted(map(str, kept.collect())) == sorted(map(str, frame.where("text is null or text not like '%idiot%'").collect()))
 
 
 def test_op5_base_and_model(rows, docs):
