@@ -274,6 +274,63 @@ def test_op7_template_goes(spark):
     assert found[9] == "" and all(found[k].split("\n") == [f"Story {k} paragraph {j} with words {k * 7 + j}." for j in range(3 + k)] for k in range(6))
 
 
+def test_op7_matching_against_brute_force():
+    from functools import cache
+
+    rng = random.Random(7)
+
+    def tree(n):
+        return wrapper.Pattern([""] + [rng.choice("abc") for _ in range(n)], [-1] + [rng.randrange(k) for k in range(1, n + 1)])
+
+    for _ in range(60):
+        a, b = tree(rng.randrange(9)), tree(rng.randrange(9))
+
+        @cache
+        def forest(xs, ys):
+            if not xs or not ys:
+                return 0
+            both = 1 + forest(tuple(a.children[xs[0]]), tuple(b.children[ys[0]])) + forest(xs[1:], ys[1:]) if a.labels[xs[0]] == b.labels[ys[0]] else 0
+            return max(both, forest(xs[1:], ys), forest(xs, ys[1:]))
+
+        n, pairs = wrapper.match(a, b)
+        assert n == len(pairs) == forest((0,), (0,)) and len({i for i, _ in pairs}) == len({j for _, j in pairs}) == n
+        assert all(a.labels[i] == b.labels[j] and (i == 0 or (a.parents[i], b.parents[j]) in pairs) for i, j in pairs)
+
+
+def test_op7_induction_needs_no_words_of_markup(spark):
+    """Pages of sf0.01 whose articles, menus, adverts and footers are plain divs, each paragraph in one of its own."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    plain = lambda h: re.sub(r"<(/?)(?:article|nav|footer)\b", r"<\1div", h.replace("</h1>", "</h1><div>").replace("</article>", "</div></article>").replace("<p>", "</div><div><p>")).replace(' class="ad"', "")
+    host = lambda r: r["url"].split("/")[2]
+    pages = Counter(map(host, rows))
+    frame = spark.createDataFrame([(r["page_id"], r["url"], plain(r["html"])) for r in rows if pages[host(r)] >= 3], "page_id long, url string, html string")
+    found = {r["page_id"]: r["text"] for r in wrapper.extract(frame).collect()}
+    right: dict = {}
+    for r in rows:
+        if r["page_id"] in found:
+            want = wrapper.main_text(r["html"])
+            right.setdefault(host(r), []).append((found[r["page_id"]] == want, wrapper.main_text(plain(r["html"])) == want))
+    assert len(right) > 30
+    assert sum(all(x for x, _ in v) for v in right.values()) >= 0.9 * len(right)  # by induction
+    assert sum(all(y for _, y in v) for v in right.values()) <= 0.1 * len(right)  # without
+
+
+def test_op7_deep_wide_and_odd_pages(spark):
+    import time
+
+    deep, wide = "<div>" * 20_000 + "text", "".join(f"<p>{k}</p><h2>{k}</h2>" for k in range(20_000))
+    for page, n in ((deep, 1), (wide, 40_000)):
+        began = time.perf_counter()
+        assert len(wrapper.main_text(page).split("\n")) == n
+        assert time.perf_counter() - began < 2
+    assert wrapper.induce([deep, deep + " more", "<p>a", None or "<p>b"]) == []
+    data = [(1, "http://a.b/1", "<p>x"), (1, "http://a.b/1", "<p>x"), (2, None, "<article>y</article>"), (3, "nonsense", None), (None, "http://a.b/2", ""), (4, "http://a.b/3", deep), (5, "http://a.b/4", "<p>&#xD800;&amp")]
+    frame = spark.createDataFrame([(*d, "m", 7, "t") for d in data], "page_id long, url string, html string, made string, host int, Text string")
+    found = {(r["page_id"], r["url"]): r["text"] for r in wrapper.extract(frame).collect()}
+    assert found == {(1, "http://a.b/1"): "x", (2, None): "y", (3, "nonsense"): "", (None, "http://a.b/2"): "", (4, "http://a.b/3"): "text", (5, "http://a.b/4"): "\ufffd&"}
+    assert wrapper.extract(frame).count() == 7 and wrapper.extract(frame.limit(0)).collect() == []
+
+
 def test_op8_held_out_accuracy(rows, docs):
     held = [r for r in rows("op8_language") if r["held_out"] and docs[r["doc_id"]]["lang"] and r["lang_pred"] != language.UNKNOWN]
     assert held and sum(r["lang_pred"] == docs[r["doc_id"]]["lang"] for r in held) >= 0.95 * len(held)
