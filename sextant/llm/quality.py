@@ -10,20 +10,21 @@ too. Limits are joined back to the texts' ratios and filter them.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import Rolling, free_name, materialize, slices, word_hashes, words_of
+from .common import Rolling, materialize, slices, word_hashes, words_of
 
 #: Sketch: relative error, values up to that count as zero, and the most buckets of a ratio.
 GAMMA, TINY, BUCKETS = 1.02, 1e-3, 2000
-MIN_ROWS, REACH = 200, 6.0
+MIN_ROWS, REACH = 200, 4.0
 #: Ratio -> least spread between its quartiles.
-SPREAD = {"symbols": 0.05, "lines": 0.1, "repeats": 0.06, "length": 1.0}
+SPREAD = {"symbols": 0.02, "lines": 0.085, "repeats": 0.06, "length": 0.1}
 SYMBOLS = b"#*$%&|<>"
 #: Base rules: fewest words; words in repeated windows of REPEAT words, in hundredths.
 LEAST_WORDS, REPEAT, MOST_REPEATED = 20, 8, 30
@@ -83,8 +84,8 @@ def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, lang string, source string, {longs}")
 
 
-def ratios() -> dict[str, Column]:
-    part = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
+def ratios(count: Callable[[str], Column] = F.col) -> dict[str, Column]:
+    part = lambda a, b: F.when(count(b) > 0, count(a) / count(b)).otherwise(F.lit(0.0))
     return {"symbols": part("n_symbols", "n_words"), "lines": part("n_dup_lines", "n_lines"), "repeats": part("n_repeat_words", "n_words"), "length": part("word_chars", "n_words")}
 
 
@@ -127,6 +128,20 @@ def limits(rows: DataFrame) -> DataFrame:
 BROADCAST_ROWS = 100_000
 
 
+def judged(rows: DataFrame, bounds: DataFrame, lang: Column, source: Column) -> tuple[DataFrame, Column, Column]:
+    """rows joined with the limits of their lang and source, whether they fail the base rules, and whether they are kept; counts are in column counted."""
+    named = bounds.withColumnsRenamed({"lang": "own lang", "source": "own source"} | {c: f"own {c}" for c in bounds.columns if c not in ("lang", "source")})
+    few = bounds.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    joined = rows.join(F.broadcast(named) if few else named, lang.eqNullSafe(F.col("`own lang`")) & source.eqNullSafe(F.col("`own source`")), "left")
+    count = lambda c: F.col(f"`own counted`.{c}")
+    failed = (count("n_words") < LEAST_WORDS) | (100 * count("n_repeat_words") > MOST_REPEATED * count("n_words"))
+    found = ratios(count)
+    inside = F.col("`own low_length`") <= found["length"]
+    for k, v in found.items():
+        inside = inside & (v <= F.col(f"`own high_{k}`"))
+    return joined, failed, ~failed & F.coalesce(inside, F.lit(False))
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """A row per row of docs: id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
 
@@ -135,18 +150,26 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     counts move.
     """
     rows = materialize(counted(docs, id_col, text_col, lang_col, source_col), "counts")
-    bounds = materialize(limits(rows), "limits").withColumnsRenamed({"lang": "l", "source": "s"})
-    few = bounds.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    joined = rows.join(F.broadcast(bounds) if few else bounds, rows.lang.eqNullSafe(F.col("l")) & rows.source.eqNullSafe(F.col("s")), "left")
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    inside = F.col("low_length") <= ratios()["length"]
-    for k, v in ratios().items():
-        inside = inside & (v <= F.col(f"high_{k}"))
-    return joined.select(F.col("id").alias(id_col), *BASE, failed.alias("base_failed"), (~failed & F.coalesce(inside, F.lit(False))).alias("kept"))
+    bounds = materialize(limits(rows), "limits")
+    whole = rows.select("id", "lang", "source", F.struct(*BASE, "n_lines").alias("own counted"))
+    joined, failed, kept = judged(whole, bounds, F.col("lang"), F.col("source"))
+    return joined.select(F.col("id").alias(id_col), *[F.col(f"`own counted`.{c}").alias(c) for c in BASE], failed.alias("base_failed"), kept.alias("kept"))
 
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The rows of docs whose id has a kept text."""
-    mark = free_name(docs, "gone_id")
-    gone = judge(docs, id_col, text_col, lang_col, source_col).groupBy(id_col).agg(F.bool_or("kept").alias("ok")).where("not ok").select(F.col(id_col).alias(mark))
-    return docs.join(gone, docs[id_col].eqNullSafe(gone[mark]), "left_anti")
+    """The rows of docs whose text is kept; rows that share an id are judged each by its text.
+
+    Texts are counted twice, for the limits and again beside them, so that none of them moves.
+    """
+    rows = counted(docs, id_col, text_col, lang_col, source_col).drop("id")
+    bounds = materialize(limits(materialize(rows, "counts")), "limits")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, values in slices(batches, text_col):
+            found = counts_of(values)
+            struct = pa.StructArray.from_arrays([pa.array(found[c]) for c in (*BASE, "n_lines")], [*BASE, "n_lines"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, struct], [*batch.schema.names, "own counted"])
+
+    schema = StructType([*docs.schema.fields, StructField("own counted", StructType([StructField(c, LongType()) for c in (*BASE, "n_lines")]))])
+    joined, _, kept = judged(docs.mapInArrow(run, schema), bounds, F.col(f"`{lang_col}`").cast("string"), F.col(f"`{source_col}`").cast("string"))
+    return joined.where(kept).select(*[F.col(f"`{c}`") for c in docs.columns])

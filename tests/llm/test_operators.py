@@ -347,6 +347,69 @@ def test_op9_against_brute_force(rows, docs):
         assert r["base_failed"] == (len(w) < 20 or 100 * len(again) > 30 * len(w)) and not (r["base_failed"] and r["kept"])
 
 
+def test_op9_verdicts_against_exact_quartiles(spark):
+    """kept on sf0.01, but for ratios so near a limit that the sketch's two per cent decide; and each limit rejects in some group."""
+    root = "/root/testdata/sf0.01"
+    table = {r["doc_id"]: r for r in spark.read.parquet(f"{root}/documents.parquet").collect()}
+    found = {r["doc_id"]: r for r in queries()["op9_quality"](spark, root).collect()}
+
+    def values(i):
+        r, lines = found[i], [x for x in (table[i]["text"] or "").split("\n") if WORD.search(x)]
+        n = max(r["n_words"], 1)
+        return {"symbols": r["n_symbols"] / n, "lines": r["n_dup_lines"] / max(len(lines), 1), "repeats": r["n_repeat_words"] / n, "length": r["word_chars"] / n}
+
+    ratio = {i: values(i) for i in found}
+    group = {i: (table[i]["lang"], table[i]["source"]) for i in found}
+    levels = [(group, Counter(g for i, g in group.items() if found[i]["n_words"]))]
+    levels.append(({i: g[0] for i, g in group.items()}, Counter(g[0] for i, g in group.items() if found[i]["n_words"])))
+    levels.append((dict.fromkeys(found, ""), Counter()))
+    seen, checked = Counter(), 0
+    quart: dict = {}
+    for i, r in found.items():
+        level = next(k for k, (of, n) in enumerate(levels) if k == 2 or n[of[i]] >= quality.MIN_ROWS)
+        of = levels[level][0]
+        inside = sure = True
+        for k, x in ratio[i].items():
+            key = (level, of[i], k)
+            if key not in quart:
+                quart[key] = np.quantile([ratio[j][k] for j in found if of[j] == of[i] and found[j]["n_words"]], [0.25, 0.75], method="inverted_cdf")
+            q1, q3 = quart[key]
+            spread = max(q3 - q1, quality.SPREAD[k])
+            high, low = q3 + quality.REACH * spread, q1 - quality.REACH * spread if k == "length" else -1.0
+            inside &= low <= x <= high
+            sure &= abs(x - high) > 0.12 * high and abs(x - low) > 0.12 * abs(low)
+            seen[k] += not low <= x <= high
+        if sure:
+            checked += 1
+            assert r["kept"] == (inside and not r["base_failed"]), i
+    assert checked > 0.8 * len(found) and seen["symbols"] and seen["length"]
+    most = {k: quality.REACH * v for k, v in quality.SPREAD.items()}
+    assert 100 * most["repeats"] < quality.MOST_REPEATED and most["lines"] < 0.5
+
+
+def test_op9_each_limit_rejects_and_adapts(spark):
+    rng = random.Random(9)
+    word = lambda n=6: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(n - 2, n + 3)))
+    plain = lambda n=6: "\n".join(" ".join(word(n) for _ in range(10)) for _ in range(6))
+    code = lambda: "\n".join(" ".join(word() + ("#" if rng.random() < 0.5 else "") for _ in range(10)) for _ in range(6))
+    rows = [(i, plain(), "en", "a") for i in range(300)] + [(1000 + i, code(), "en", "code") for i in range(300)]
+    line, many = plain().split("\n")[0], " ".join(word() for _ in range(11))
+    bad = {
+        "symbols": code(),
+        "lines": "\n".join([line.split()[0]] * 3 + [x for x in plain().split("\n")] + [line.split()[0]] * 3),
+        "repeats": f"{many} {plain()} {many} {word()}",
+        "long words": plain(30),
+        "short words": " ".join("ab"[k % 2] + "cd"[k % 3 % 2] for k in range(7)) + " " + " ".join(f"{a}{b}" for a in "efg" for b in "hijkl"),
+    }
+    rows += [(2000 + k, t, "en", "a") for k, t in enumerate(bad.values())]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "1 gone_id", "'x' counted")
+    found = {r["doc_id"]: r for r in quality.judge(frame).collect()}
+    assert [k for k, name in enumerate(bad) if found[2000 + k]["kept"] or found[2000 + k]["base_failed"]] == []
+    assert all(found[i]["kept"] for i in range(300)) and all(found[1000 + i]["kept"] for i in range(300))
+    kept = quality.keep(frame)
+    assert kept.columns == frame.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in found.items() if r["kept"]}
+
+
 def test_op9_sketch_quantiles(spark):
     from pyspark.sql import functions as F
 
