@@ -4,18 +4,19 @@ A byte is eight binary decisions, each at a node of a binary tree; a node keeps
 context of up to DEPTH bytes. At every context Krichevsky-Trofimov estimates of the counts are mixed with what the
 contexts one byte longer say, half and half: Pw = Pe / 2 + product of the children's Pw / 2. The weight that training
 leaves to a context is Pe / (2 Pw), and a byte's probability mixes the estimates along its context's path by these
-weights.
+weights; a context that training has not seen predicts 1/2.
 
-Counts come from all training texts. The tables that scoring needs are bounded by parameters: contexts of two and more
-bytes keep a node if its count is at least 1 / NODES of all training bytes, so at most 8 * NODES nodes of each depth
-stay; a path that ends early ends with the estimate reached. Whole bytes that stand for at least 1 / GRAMS of the
-training bytes have their probability computed once. Words are counted likewise: those with at least 1 / COMMON
-of the training tokens are looked up in a table of COMMON entries at most, all others by a join.
+Counts come from all training texts, and none is left out: the model grows with the corpus. Grams (a byte and the
+DEPTH before it) of all texts are counted once each. Contexts that share their last SHARED bytes are mixed together, from the deepest up;
+their few nodes at that depth are mixed by their last two bytes, and those of one byte and none, 65,535 at most, on the driver.
+On the way back down each gram gets its probability. Words are counted by 64-bit hashes.
+
+Texts are scored with the values of grams and words that make up at least 1 / COMMON of all bytes or training tokens, so at most
+COMMON of each, in tables of every worker; all others are looked up by a join.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,15 +24,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import materialize, run_bounds, slices, word_hashes, words_of
 
-DEPTH = 5
-NODES, GRAMS, COMMON = 1 << 20, 1 << 19, 1 << 18
+DEPTH, SHARED = 5, 3
+COMMON = 1 << 19
 #: Bytes that UTF-8 texts never hold (end) or hardly ever (before the start).
 START, END = 0x00, 0xFF
-#: Entries that a counting task holds before it passes them on.
-HELD = 1_000_000
-TOKEN, LAST, GRAM = 0, 1, 2
+#: Bytes of text that are worked on at once, entries that a counting task holds before it passes them on, and rows of whole contexts that are mixed at once.
+CHUNK, HELD, MIXED = 1 << 20, 1_000_000, 200_000
+TOKEN, GRAM = 0, 1
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -65,37 +66,55 @@ def grams_of(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return code[real], np.cumsum(lens) - lens
 
 
+def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the sums of their counts."""
+    key, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    if not len(key):
+        return key, n
+    at = run_bounds(key)
+    return key[at], np.add.reduceat(n, at)
+
+
 def count(docs: DataFrame) -> DataFrame:
-    """kind, key and n: tokens, ends and grams of column text."""
+    """kind, key and n from (text, train): of training texts hashed tokens and grams; of others their grams, n 0."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens: Counter = Counter()
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        texts = 0
+        held: dict[int, tuple[list[np.ndarray], list[np.ndarray]]] = {TOKEN: ([], []), GRAM: ([], [])}
+        size = 0
 
         def rows() -> Iterator[pa.RecordBatch]:
-            words = pa.array(list(tokens.keys()), pa.binary())
-            n = len(words)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, TOKEN, np.int8)), words, pa.array(np.zeros(n, np.int64)), pa.array(list(tokens.values()), pa.int64())], ["kind", "word", "gram", "n"])
-            m = len(keys)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, GRAM, np.int8)), pa.array([b""] * m, pa.binary()), pa.array(keys.view(np.int64)), pa.array(counts)], ["kind", "word", "gram", "n"])
-
-        for _, values in slices(batches):
-            texts += len(values)
-            for v in values:
-                tokens.update(v.lower().split())
-            found, n = np.unique(grams_of(values)[0], return_counts=True)
-            both = np.concatenate((keys, found))
-            keys, where = np.unique(both, return_inverse=True)
-            counts = np.bincount(where, np.concatenate((counts, n)), len(keys)).astype(np.int64)
-            if len(tokens) + len(keys) > 2 * HELD:
-                yield from rows()
-                tokens, keys, counts = Counter(), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            for kind, (keys, counts) in held.items():
+                if keys:
+                    key, n = summed(keys, counts)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int8)), pa.array(key.view(np.int64)), pa.array(n)], ["kind", "key", "n"])
+                    keys.clear()
+                    counts.clear()
+
+        for batch, values in slices(batches, limit=CHUNK):
+            train = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            parts = [(TOKEN, word_hashes(words_of([v for v, t in zip(values, train, strict=True) if t], lower=True)), 1)]
+            for weight in (0, 1):
+                parts.append((GRAM, grams_of([v for v, t in zip(values, train, strict=True) if t == weight])[0], weight))
+            for kind, found, weight in parts:
+                if len(found):
+                    key, n = np.unique(found, return_counts=True)
+                    held[kind][0].append(key)
+                    held[kind][1].append(n.astype(np.int64) * weight)
+                    size += len(key)
+            if size > 4 * HELD:
+                for keys, counts in held.values():
+                    if keys:
+                        key, n = summed(keys, counts)
+                        keys[:], counts[:] = [key], [n]
+                size = sum(len(keys[0]) for keys, _ in held.values() if keys)
+                if size > HELD:
+                    yield from rows()
+                    size = 0
         yield from rows()
-        yield pa.RecordBatch.from_arrays([pa.array([LAST], pa.int8()), pa.array([b""], pa.binary()), pa.array([0], pa.int64()), pa.array([texts], pa.int64())], ["kind", "word", "gram", "n"])
 
-    parts = docs.select("text").mapInArrow(run, "kind byte, word binary, gram long, n long")
-    return parts.groupBy("kind", "word", "gram").agg(F.sum("n").alias("n")).where("n > 0")
+    return docs.mapInArrow(run, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 def _level(context: np.ndarray, last: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,96 +132,181 @@ def _level(context: np.ndarray, last: np.ndarray, n: np.ndarray) -> tuple[np.nda
     return key[order], np.concatenate(zeros)[order], np.concatenate(ones)[order]
 
 
-def _mix(depth: int, key: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
-    """log Pw and own weight of the nodes of a depth, given keys and log Pw of the nodes one deeper."""
-    own = log_kt(zeros, ones)
-    if below is None:
-        return own, np.ones(len(key))
-    mask = np.uint64((1 << 8 * (depth + 1)) - 1)
-    up = below[0] & mask  # a deeper context without its first byte, and the node
-    at = np.searchsorted(key, up)
-    children = np.bincount(at, below[1], len(key))
+def _mix(own: np.ndarray, children: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log Pw and own weight of nodes from their log Pe and the sum of their children's log Pw."""
     both = np.logaddexp(own, children) - np.log(2)
     return both, np.exp(own - np.log(2) - both)
 
 
-def tree(grams: DataFrame, total: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each depth sorted node keys and the probability of a one if the path ends there.
-
-    grams: gram and n. Contexts that share their last two bytes are mixed in one partition, from the deepest up; the
-    nodes of two bytes and the kept deeper ones go to the driver, at most 2**24 and 8 * NODES of a depth.
-    """
+def _up(depth: int, key: np.ndarray) -> np.ndarray:
+    """The node one byte less deep: the context without its first byte."""
+    return key & np.uint64((1 << 8 * depth) - 1)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()) for b in batches if b.num_rows]
-        if not parts:
-            return
-        gram, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-        last, below = gram & np.uint64(255), None
-        for depth in range(DEPTH, 1, -1):
-            context = (gram >> np.uint64(8)) & np.uint64((1 << 8 * depth) - 1)
-            key, zeros, ones = _level(context, last, n)
-            both, own = _mix(depth, key, zeros, ones, below)
-            below = (key, both)
-            on = np.flatnonzero((zeros + ones) * NODES >= total) if depth > 2 else np.arange(len(key))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(on), depth, np.int8)), pa.array(key[on].view(np.int64)), pa.array(zeros[on].astype(np.int64)), pa.array(ones[on].astype(np.int64)), pa.array(both[on]), pa.array(own[on])],
-                ["depth", "key", "zeros", "ones", "pw", "own"],
-            )
 
-    pair = F.shiftrightunsigned("gram", 8).bitwiseAND(0xFFFF)
-    found = grams.select("gram", "n").repartition(pair).mapInArrow(run, "depth byte, key long, zeros long, ones long, pw double, own double").toArrow()
-    level: dict[int, tuple[np.ndarray, ...]] = {}
-    depths = found["depth"].to_numpy()
-    for depth in range(2, DEPTH + 1):
-        on = np.flatnonzero(depths == depth)
-        key = found["key"].to_numpy()[on].view(np.uint64)
-        order = np.argsort(key)
-        level[depth] = (key[order], *(found[c].to_numpy()[on][order] for c in ("zeros", "ones", "pw", "own")))
-    for depth in (1, 0):
-        key, zeros, ones, pw, _ = level[depth + 1]
-        up, where = np.unique(key & np.uint64((1 << 8 * (depth + 1)) - 1), return_inverse=True)
-        zeros, ones = (np.bincount(where, x, len(up)) for x in (zeros, ones))
-        both, own = _mix(depth, up, zeros, ones, (key, pw))
-        level[depth] = (up, zeros, ones, both, own)
-    out: list[tuple[np.ndarray, np.ndarray]] = []
-    sums = rest = None
-    for depth in range(DEPTH + 1):
-        key, zeros, ones, _, own = level[depth]
-        if depth == 2:
-            on = (zeros + ones) * NODES >= total
-            key, zeros, ones, own = key[on], zeros[on], ones[on], own[on]
-        estimate = (ones + 0.5) / (zeros + ones + 1.0)
-        if depth == 0:
-            before, left = np.zeros(len(key)), np.ones(len(key))
-        else:  # a kept node's parent is kept: its counts are at least as large
-            at = np.searchsorted(out[-1][0], key & np.uint64((1 << 8 * depth) - 1))
-            before, left = sums[at], rest[at]
-        sums = before + left * own * estimate
-        rest = left * (1 - own)
-        out.append((key, sums + rest * estimate))
+def _deep(gram: np.ndarray, n: np.ndarray) -> dict[int, tuple[np.ndarray, ...]]:
+    """Of each depth from DEPTH to SHARED: keys, zeros, ones, log Pw, own weight."""
+    last, out = gram & np.uint64(255), {}
+    for depth in range(DEPTH, SHARED - 1, -1):
+        key, zeros, ones = _level((gram >> np.uint64(8)) & np.uint64((1 << 8 * depth) - 1), last, n)
+        pw, own = log_kt(zeros, ones), np.ones(len(key))
+        if depth < DEPTH:
+            below = out[depth + 1]
+            pw, own = _mix(pw, np.bincount(np.searchsorted(key, _up(depth + 1, below[0])), below[3], len(key)))
+        out[depth] = (key, zeros, ones, pw, own)
     return out
 
 
-def gram_logs(model: list[tuple[np.ndarray, np.ndarray]], gram: np.ndarray) -> np.ndarray:
-    """log10 of the probability of each gram's last byte after the bytes before it."""
-    out = np.zeros(len(gram))
-    last = gram & np.uint64(255)
-    for k in range(8):
-        node = (np.uint64(1) << np.uint64(k)) | (last >> np.uint64(8 - k))
-        bit = (last >> np.uint64(7 - k)) & np.uint64(1)
-        p = np.full(len(gram), 0.5)
-        on = np.arange(len(gram))
-        for depth, (keys, ones) in enumerate(model):  # as deep as the path goes
-            if not len(keys) or not len(on):
-                break
-            key = ((gram[on] >> np.uint64(8)) & np.uint64((1 << 8 * depth) - 1)) << np.uint64(8) | node[on]
-            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            hit = keys[at] == key
-            on = on[hit]
-            p[on] = ones[at[hit]]
-        out += np.log10(np.where(bit == 1, p, 1 - p))
-    return out
+def _middle(depth: int, below: tuple[np.ndarray, ...]) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """Keys, zeros, ones, log Pw and own weight of a depth from all (key, zeros, ones, pw) one deeper, and where each of these belongs."""
+    key, where = np.unique(_up(depth + 1, below[0]), return_inverse=True)
+    zeros, ones, children = (np.bincount(where, x, len(key)) for x in below[1:4])
+    return (key, zeros, ones, *_mix(log_kt(zeros, ones), children)), where
+
+
+def _down(before: np.ndarray, rest: np.ndarray, node: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """What a path predicts up to a node, and the weight that is left for deeper ones, from the same of its parent."""
+    _, zeros, ones, _, own = node
+    return before + rest * own * (ones + 0.5) / (zeros + ones + 1.0), rest * (1 - own)
+
+
+def _groups(batches: Iterable[pa.RecordBatch], key: int) -> Iterator[pa.Table]:
+    """Rows in order of column key, about MIXED at a time, all of a key together."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n += batch.num_rows
+        if n > MIXED:
+            table = pa.Table.from_batches(held)
+            own = table.column(key).to_numpy()
+            cut = int(np.searchsorted(own, own[-1]))  # the last key may go on
+            if cut:
+                yield table.slice(0, cut)
+            held = table.slice(cut).to_batches()
+            n -= cut
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+NODES = "key long, zeros double, ones double, pw double"
+
+
+def weigh(grams: DataFrame) -> DataFrame:
+    """key, n and value, log10 of the probability of its last byte after the bytes before, of each gram (key, n)."""
+
+    def columns(table: pa.Table, names: str) -> list[np.ndarray]:
+        return [table.column(c).to_numpy() for c in names.split()]
+
+    def deep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches, 0):
+            gram, n = columns(table, "key n")
+            key, zeros, ones, pw, _ = _deep(gram.view(np.uint64), n)[SHARED]
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(zeros), pa.array(ones), pa.array(pw)], ["key", "zeros", "ones", "pw"])
+
+    shared = F.shiftright("key", 8).bitwiseAND((1 << 8 * SHARED) - 1).alias("shared")
+    pair = F.shiftright("key", 8).bitwiseAND(0xFFFF).alias("pair")
+    by_context = grams.select(shared, "key", "n").repartition("shared").sortWithinPartitions("shared")
+    nodes = materialize(by_context.mapInArrow(deep, NODES), "nodes")
+
+    def middle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches, 0):
+            key, *rest = columns(table, "key zeros ones pw")
+            (key, zeros, ones, pw, _), _ = _middle(2, (key.view(np.uint64), *rest))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(zeros), pa.array(ones), pa.array(pw)], ["key", "zeros", "ones", "pw"])
+
+    by_pair = nodes.select(pair, "key", "zeros", "ones", "pw").repartition("pair").sortWithinPartitions("pair")
+    one = F.col("key").bitwiseAND(0xFFFF).alias("key")  # a context of one byte, and the node
+    top = by_pair.mapInArrow(middle, NODES).groupBy(one).agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "pw")]).toArrow()  # at most 2**16 rows
+    key, zeros, ones, children = columns(top.sort_by("key"), "key zeros ones pw")
+    key = key.view(np.uint64)
+    first = (key, zeros, ones, *_mix(log_kt(zeros, ones), children))
+    none, where = _middle(0, first)
+    before, rest = _down(np.zeros(len(none[0])), np.ones(len(none[0])), none)
+    upper = grams.sparkSession.sparkContext.broadcast((key, *_down(before[where], rest[where], first)))
+
+    def back(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, before, rest = upper.value
+        for table in _groups(batches, 0):
+            key, *sums = columns(table, "key zeros ones pw")
+            node, where = _middle(2, (key.view(np.uint64), *sums))
+            at = np.searchsorted(keys, _up(2, node[0]))
+            b, r = _down(before[at], rest[at], node)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(b[where]), pa.array(r[where])], ["key", "before", "rest"])
+
+    begun = by_pair.mapInArrow(back, "key long, before double, rest double")
+    nothing = F.lit(None)
+    both = begun.select(shared, "key", nothing.cast("long").alias("n"), "before", "rest").unionByName(grams.select(shared, "key", "n", nothing.cast("double").alias("before"), nothing.cast("double").alias("rest")))
+
+    def last(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches, 0):
+            of_nodes = table.column("n").is_null()
+            above, own = table.filter(of_nodes).sort_by("key"), table.filter(table.column("n").is_valid())
+            (begun_key, before, rest), (gram, n) = columns(above, "key before rest"), columns(own, "key n")
+            gram = gram.view(np.uint64)
+            levels, values = _deep(gram, n), {}
+            for depth in range(SHARED, DEPTH + 1):
+                node = levels[depth]
+                at = np.searchsorted(begun_key.view(np.uint64), node[0]) if depth == SHARED else np.searchsorted(levels[depth - 1][0], _up(depth, node[0]))
+                b, r = (before[at], rest[at]) if depth == SHARED else (values[depth - 1][0][at], values[depth - 1][1][at])
+                values[depth] = _down(b, r, node)
+            chance, out = values[DEPTH][0], np.zeros(len(gram))  # the deepest own weight is one
+            byte = gram & np.uint64(255)
+            for k in range(8):
+                node = (gram >> np.uint64(8)) << np.uint64(8) | (np.uint64(1) << np.uint64(k)) | (byte >> np.uint64(8 - k))
+                p = chance[np.searchsorted(levels[DEPTH][0], node)]
+                out += np.log10(np.where((byte >> np.uint64(7 - k)) & np.uint64(1), p, 1 - p))
+            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n), pa.array(out)], ["key", "n", "value"])
+
+    return materialize(both.repartition("shared").sortWithinPartitions("shared").mapInArrow(last, "key long, n long, value double"), "grams")
+
+
+class Table:
+    """Values by 64-bit keys, open addressing in two arrays."""
+
+    MULTIPLIER, EMPTY = np.uint64(0x9E3779B97F4A7C15), np.uint64((1 << 64) - 1)
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, self.EMPTY), np.zeros(1 << self.bits)
+        at, todo = self.slot(keys), np.arange(len(keys))
+        while len(todo):
+            free = todo[self.keys[at[todo]] == self.EMPTY]
+            _, one = np.unique(at[free], return_index=True)
+            put = free[one]
+            self.keys[at[put]], self.values[at[put]] = keys[put], values[put]
+            todo = todo[self.keys[at[todo]] != keys[todo]]
+            at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys * self.MULTIPLIER) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values of keys, 0 for those that aren't there, and which are."""
+        at = self.slot(keys)
+        seen = self.keys[at]
+        hit = seen == keys
+        out = np.where(hit, self.values[at], 0.0)
+        on = np.flatnonzero(~hit & (seen != self.EMPTY))
+        place = at[on]
+        while len(on):
+            place = (place + 1) & ((1 << self.bits) - 1)
+            seen = self.keys[place]
+            here = seen == keys[on]
+            out[on[here]], hit[on[here]] = self.values[place[here]], True
+            more = ~here & (seen != self.EMPTY)
+            on, place = on[more], place[more]
+        return out, hit
+
+
+def _others(kind: int, owner: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Owner, kind, key and how often, of distinct pairs of owner and key."""
+    order = np.lexsort((key, owner))
+    owner, key = owner[order], key[order]
+    at = run_bounds(owner, key) if len(key) else np.zeros(0, np.int64)
+    return owner[at], np.full(len(at), kind, np.int8), key[at].view(np.int64), np.diff(np.append(at, len(key)))
 
 
 def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -214,73 +318,67 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     """
     spark = docs.sparkSession
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    counts = materialize(count(docs.where(train).select(text.alias("text"))), "counts")
-    sums = counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()  # a row for each kind
-    by = {r["kind"]: r for r in sums}
-    texts = by[LAST]["n"] if LAST in by else 0
-    n_all = texts + (by[TOKEN]["n"] if TOKEN in by else 0)
-    v_all = (by[TOKEN]["v"] if TOKEN in by else 0) + (texts > 0)
-    n_bytes = by[GRAM]["n"] if GRAM in by else 0
-    grams = counts.where(F.col("kind") == GRAM)
-    if n_bytes:
-        model = tree(grams, n_bytes)
-        usual = np.sort(grams.where(F.col("n") * GRAMS >= n_bytes).select("gram").toArrow()["gram"].to_numpy().view(np.uint64))  # GRAMS at most
-    else:
-        model, usual = [], np.zeros(0, np.uint64)
-    common = counts.where((F.col("kind") == TOKEN) & (F.col("n") * COMMON >= n_all)).select("word", "n").toArrow()  # COMMON at most
-    table = spark.sparkContext.broadcast((model, usual, gram_logs(model, usual), common["word"].to_pylist(), common["n"].to_numpy()))
+    learned = F.coalesce(train, F.lit(False))
+    counts = materialize(count(docs.select(text.alias("text"), learned.alias("train"))), "counts")
+    texts = docs.select(learned.cast("long").alias("t")).agg(F.sum("t")).first()[0] or 0
+    sums = {r["kind"]: r for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}  # a row for each kind
+    n_all = texts + (sums[TOKEN]["n"] if TOKEN in sums else 0)
+    v_all = (sums[TOKEN]["v"] if TOKEN in sums else 0) + (texts > 0)
+    n_bytes = sums[GRAM]["n"] if GRAM in sums else 0
     below = float(n_all + v_all + 1)
     end_log = float(np.log10((texts + 1) / below))
+    grams = weigh(counts.where(F.col("kind") == GRAM).select("key", "n"))
+    words = counts.where(F.col("kind") == TOKEN).select("key", "n", F.log10((F.col("n") + 1) / F.lit(below)).alias("value"))
+
+    def common(rows: DataFrame, total: int) -> Table:
+        found = rows.where((F.col("n") * COMMON >= total) & (F.col("n") > 0)).select("key", "value").toArrow()  # COMMON at most
+        return Table(found["key"].to_numpy().view(np.uint64), found["value"].to_numpy())
+
+    tables = spark.sparkContext.broadcast((common(words, n_all), common(grams, n_bytes)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, usual, logs, words, sizes = table.value
-        known = dict(zip(words, np.log10((sizes + 1) / below).tolist(), strict=True))
-        for batch, values in slices(batches):
-            n, base, hit, rare_at, rare_word, rare_n = [], [], [], [0], [], []
-            for v in values:
-                split = v.lower().split()
-                n.append(len(split) + 1)
-                found = [known.get(w) for w in split]
-                if None in found:
-                    missing = Counter([w for w, x in zip(split, found, strict=True) if x is None])
-                    rare_word.extend(missing.keys())
-                    rare_n.extend(missing.values())
-                    found = [x for x in found if x is not None]
-                rare_at.append(len(rare_word))
-                base.append(sum(found) + end_log)
-                hit.append(len(found) + (texts > 0))
+        of_words, of_grams = tables.value
+        for batch, values in slices(batches, limit=CHUNK):
+            n = len(values)
+            split = words_of(values, lower=True)
+            owner, key = np.repeat(np.arange(n), split.counts), word_hashes(split)
+            value, hit = of_words.find(key)
+            base = np.bincount(owner, value, n) + end_log
+            known = np.bincount(owner[hit], minlength=n) + (texts > 0)
             gram, begin = grams_of(values)
-            keys, where = np.unique(gram, return_inverse=True)
-            at = np.minimum(np.searchsorted(usual, keys), max(len(usual) - 1, 0))
-            got = usual[at] == keys if len(usual) else np.zeros(len(keys), bool)
-            value = np.empty(len(keys))
-            value[got] = logs[at[got]]
-            value[~got] = gram_logs(model, keys[~got])
-            total = np.add.reduceat(value[where], begin)
-            lens = np.diff(np.append(begin, len(gram))) - 1
-            rare = pa.StructArray.from_arrays([pa.array(rare_word, pa.binary()), pa.array(rare_n, pa.int64())], ["word", "m"])
+            logs, got = of_grams.find(gram)
+            lens = np.diff(np.append(begin, len(gram)))
+            rest = zip(_others(TOKEN, owner[~hit], key[~hit]), _others(GRAM, np.repeat(np.arange(n), lens)[~got], gram[~got]), strict=True)
+            whose, kind, other, m = (np.concatenate(x) for x in rest)
+            order = np.argsort(whose, kind="stable")
+            rare = pa.StructArray.from_arrays([pa.array(kind[order]), pa.array(other[order]), pa.array(m[order])], ["kind", "key", "m"])
+            at = np.searchsorted(whose[order], np.arange(n + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(base, pa.float64()), pa.array(total), pa.array(lens), pa.ListArray.from_arrays(pa.array(rare_at, pa.int32()), rare)],
+                [batch.column(0), pa.array(split.counts + 1), pa.array(known), pa.array(base), pa.array(np.add.reduceat(logs, begin)), pa.array(lens - 1), pa.ListArray.from_arrays(pa.array(at), rare)],
                 ["id", "n_tokens", "hit", "base", "score", "n_bytes", "rare"],
             )
 
     src = docs.select(docs[id_col].alias("id"), text.alias("text"))
     kind = src.schema["id"].dataType.simpleString()
-    rows = src.mapInArrow(run, f"id {kind}, n_tokens long, hit long, base double, score double, n_bytes long, rare array<struct<word: binary, m: long>>")
+    rows = src.mapInArrow(run, f"id {kind}, n_tokens long, hit long, base double, score double, n_bytes long, rare array<struct<kind: byte, key: long, m: long>>")
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = rows.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.m")
-    seen = counts.where(F.col("kind") == TOKEN).select("word", F.col("n").alias("c"))
-    c = F.coalesce("c", F.lit(0))
-    log = F.log10((c + 1) / F.lit(below))
-    more = rare.join(seen, "word", "left").groupBy("row").agg(F.sum(F.col("m") * log).alias("more"), F.sum(F.when(c > 0, F.col("m")).otherwise(0)).alias("also"))
-    out = rows.drop("rare").join(more, "row", "left")
+    rare = rows.select("row", F.explode("rare").alias("r")).select("row", "r.kind", "r.key", "r.m")
+    seen = words.select(F.lit(TOKEN).cast("byte").alias("kind"), "key", "value").unionByName(grams.select(F.lit(GRAM).cast("byte").alias("kind"), "key", "value"))
+    token, m = F.col("kind") == TOKEN, F.col("m")
+    found = rare.join(seen, ["kind", "key"], "left").groupBy("row").agg(
+        F.sum(F.when(token, m * F.coalesce("value", F.lit(-float(np.log10(below)))))).alias("words"),
+        F.sum(F.when(token & F.col("value").isNotNull(), m)).alias("also"),
+        F.sum(F.when(~token, m * F.col("value"))).alias("bytes"),
+    )
+    more = lambda c, to: F.col(c) + F.coalesce(F.col(to), F.lit(0))
+    out = rows.drop("rare").join(found, "row", "left")
     return out.select(
         F.col("id").alias(id_col),
         "n_tokens",
-        (F.col("hit") + F.coalesce("also", F.lit(0))).alias("n_known"),
+        more("hit", "also").alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        "score",
+        more("base", "words").alias("base_score"),
+        more("score", "bytes").alias("score"),
         "n_bytes",
-        (-F.col("score") * 3.321928094887362 / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
+        (-more("score", "bytes") * 3.321928094887362 / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
     )

@@ -235,6 +235,64 @@ def test_op5_base_and_model(rows, docs):
     assert sum(-r["score"] for r in held) * 3.3219 / sum(r["n_bytes"] + 1 for r in held) < 3
 
 
+def test_op5_against_brute_force(spark):
+    """Weighted probabilities by the definition, node by node, on a few texts; rare and unseen contexts are looked up by a join."""
+    from functools import cache
+
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("ab cÄ") for _ in range(rng.randrange(60))) for _ in range(14)] + [None, "", "x" * 40, "zzzé"]
+    train = [k % 3 != 0 for k in range(len(texts))]
+    depth, counts = ctw.DEPTH, {}
+
+    def steps(text):
+        data = bytes([ctw.START]) * depth + (text or "").encode().lower() + bytes([ctw.END])
+        for i in range(depth, len(data)):
+            for k in range(8):
+                yield data[i - depth : i], (1 << k) | (data[i] >> (8 - k)), data[i] >> (7 - k) & 1
+
+    for text, on in zip(texts, train, strict=True):
+        for context, node, bit in steps(text) if on else ():
+            for d in range(depth + 1):
+                counts.setdefault((context[depth - d :], node), [0, 0])[bit] += 1
+
+    def kt(zeros, ones):
+        return math.lgamma(zeros + 0.5) + math.lgamma(ones + 0.5) - math.log(math.pi) - math.lgamma(zeros + ones + 1)
+
+    children: dict = {}
+    for context, node in counts:
+        if context:
+            children.setdefault((context[1:], node), []).append((context, node))
+
+    @cache
+    def weighted(key):
+        own = kt(*counts[key])
+        return own if len(key[0]) == depth else float(np.logaddexp(own, sum(map(weighted, children[key])))) - math.log(2)
+
+    def one(context, node, d=0):
+        """What the tree predicts from depth d on."""
+        key = (context[depth - d :], node)
+        if key not in counts:
+            return 0.5
+        zeros, ones = counts[key]
+        estimate = (ones + 0.5) / (zeros + ones + 1)
+        if d == depth:
+            return estimate
+        weight = math.exp(kt(zeros, ones) - math.log(2) - weighted(key))
+        return weight * estimate + (1 - weight) * one(context, node, d + 1)
+
+    frame = spark.createDataFrame([(k, t, on) for k, (t, on) in enumerate(zip(texts, train, strict=True))], "doc_id long, text string, key boolean")
+    before = ctw.COMMON
+    for common in (before, 1 << 5):
+        ctw.COMMON = common
+        try:
+            found = {r["doc_id"]: r for r in ctw.score(frame.repartition(3), frame["key"]).collect()}
+        finally:
+            ctw.COMMON = before
+        for k, text in enumerate(texts):
+            want = sum(math.log10(p if bit else 1 - p) for context, node, bit in steps(text) for p in [one(context, node)])
+            assert math.isclose(found[k]["score"], want, rel_tol=1e-9), (common, k)
+
+
 def test_op5_kt_is_sequential():
     p, zeros, ones = 1.0, 0, 0
     for bit in (0, 1, 1, 0, 1):
