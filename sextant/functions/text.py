@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,21 @@ SUPPORT_STOPS = """a an and are as by can could did do does document for from ho
 report study the this to what when where whether why with""".split()
 
 
+def plain_tokens(text: str) -> list[str]:
+    """What tokenize gives for a constant, in Python: rules of profiles are tokenised once."""
+    out = []
+    for t in re.findall(r"[^\W]+", text.lower()):
+        if re.fullmatch("[a-z]+", t):
+            if len(t) > 4 and t.endswith("ies"):
+                t = t[:-3] + "y"
+            elif len(t) > 5 and t.endswith(("ches", "shes", "sses", "xes", "zes")):
+                t = t[:-2]
+            elif len(t) > 4 and t.endswith("s") and not t.endswith(("ss", "us", "sis")):
+                t = t[:-1]
+        out.append(t)
+    return out
+
+
 def words(text: Column) -> Column:
     """Tokens as they stand."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
@@ -34,7 +51,7 @@ def stem(token: Column) -> Column:
     plain = (
         F.when((n > 4) & t.endswith("ies"), cut(3, "y"))
         .when((n > 5) & t.rlike("(ches|shes|sses|xes|zes)$"), cut(2))
-        .when((n > 4) & t.endswith("s") & ~t.rlike("(ss|us|is)$"), cut(1))
+        .when((n > 4) & t.endswith("s") & ~t.rlike("(ss|us|sis)$"), cut(1))
         .otherwise(t)
     )
     return F.when(t.rlike("^[a-z]+$"), plain).otherwise(t)

@@ -2,37 +2,59 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
 K1, B, DIM = 1.5, 0.75, 384
+#: Vectors of a block of the vector search.
+BLOCK = 2048
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores if they come in fewer partitions, as one small file does; a large table stays as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def postings(chunks: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(term, id, tf) and (id, length) of all chunks, also those without tokens."""
-    tokens = chunks.select(F.col(id_col).alias("id"), T.tokenize(F.col(text_col)).alias("tokens"))
-    found = tokens.select("id", F.explode("tokens").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
-    return found, tokens.select("id", F.size("tokens").alias("length"))
+    tokens = spread(chunks.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).select("id", T.words(F.col("text")).alias("words"))
+    found = tokens.select("id", F.explode("words").alias("word")).groupBy("id", T.stem(F.col("word")).alias("term")).agg(F.count("*").alias("tf"))
+    return found.select("term", "id", "tf"), tokens.select("id", F.size("words").alias("length"))
 
 
 def document_frequency(found: DataFrame) -> DataFrame:
     return found.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def term_df(chunks: DataFrame, text_col: str) -> DataFrame:
+    """term and df: each chunk's distinct terms are found where it stands, so only partial counts by term move."""
+    words = spread(chunks.select(F.col(text_col).alias("text"))).select(F.array_distinct(T.words(F.lower("text"))).alias("words"))
+    return words.select(F.explode(F.array_distinct(F.transform("words", T.stem))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
 def bm25(queries: DataFrame, chunks: DataFrame, query_id: str, query_text: str, id_col: str, text_col: str, top_k: int = 10) -> DataFrame:
     """query_id, id_col, rank, score: the top_k chunks of each query, scores over the query's best.
 
-    A query's repeated terms count as often. Only postings of asked terms move: the terms filter the exploded tokens
-    before they are counted; corpus statistics are one row, joined by cross product with it.
+    A query's repeated terms count as often. Chunks are read once: words are stemmed as rows, and only postings of
+    asked terms move, with one row for each chunk that carries its length. Corpus statistics, document frequencies and scores
+    read the same exchange.
     """
     asked = queries.select(F.col(query_id).alias("q"), F.explode(T.tokenize(F.col(query_text))).alias("term")).groupBy("q", "term").agg(F.count("*").alias("qtf"))
-    tokens = chunks.select(F.col(id_col).alias("id"), T.tokenize(F.col(text_col)).alias("tokens")).withColumn("length", F.size("tokens"))
-    stats = tokens.agg(F.count("*").alias("n"), F.avg("length").alias("avgdl"))
-    terms = asked.select("term").distinct()
-    found = tokens.select("id", "length", F.explode("tokens").alias("term")).join(terms, "term", "left_semi").groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
-    scored = found.join(document_frequency(found), "term").join(asked, "term").crossJoin(F.broadcast(stats))
+    tokens = spread(chunks.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).select("id", T.words(F.col("text")).alias("words"))
+    rows = tokens.select("id", F.size("words").alias("length"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "words")).alias("word"))
+    terms = asked.select("term").distinct().unionByName(asked.sparkSession.createDataFrame([("",)], "term string"))  # the empty term stands for the chunk itself
+    every = rows.withColumn("term", F.coalesce(T.stem(F.col("word")), F.lit(""))).join(terms, "term", "left_semi")
+    every = every.groupBy("term", "id", "length").agg(F.count("*").alias("tf"), F.max(F.col("word").isNull()).alias("whole"))
+    stats = every.where("whole").agg(F.count("*").alias("n"), F.avg("length").alias("avgdl"))
+    found = every.where("not whole")
+    scored = found.join(document_frequency(found), "term").join(asked, "term").crossJoin(F.broadcast(stats))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("qtf") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
     sums = scored.groupBy("q", "id").agg(F.sum(part).alias("raw")).where("raw > 0")
@@ -55,12 +77,43 @@ def distance_to_score(distance):
 
 
 def vector_topk(queries: DataFrame, vectors: DataFrame, query_id: str, id_col: str, vector_col: str, top_k: int) -> DataFrame:
-    """The top_k nearest vectors of each query, exactly.
+    """The top_k nearest vectors of each query, exactly, scores rounded to 6 places and ties by id.
 
-    queries is a stated set, sent in blocks to where the vectors are; each block keeps its top_k before anything moves.
+    queries is a stated set. Both sides become blocks of BLOCK unit vectors, one row each; blocks meet blocks, a pair is one
+    matrix product, and only its best rows go on, so the vectors move as little as the plan allows and no side is forced into a broadcast.
+    Null vectors match nothing; a vector without length has cosine 0.
     """
-    q = queries.select(F.col(query_id).alias("q"), F.col(vector_col).alias("qv"))
-    scored = vectors.crossJoin(F.broadcast(q)).select("q", F.col(id_col).alias("id"), F.round(cosine(F.col("qv"), F.col(vector_col)), 6).alias("score"))
+
+    def blocked(rows: DataFrame, name: str) -> DataFrame:
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, whole.num_rows, BLOCK):
+                    batch = whole.slice(at, BLOCK)
+                    x = np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, -1)
+                    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+                    unit = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+                    ids = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(0))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array([unit.tobytes()], pa.binary())], [f"{name}_ids", f"{name}_matrix"])
+
+        kind = rows.schema[0].dataType.simpleString()
+        return rows.where(F.col(rows.columns[1]).isNotNull()).mapInArrow(cut, f"{name}_ids array<{kind}>, {name}_matrix binary")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                q, v = batch.column(0).slice(k, 1).flatten(), batch.column(2).slice(k, 1).flatten()
+                x, y = (np.frombuffer(batch.column(c)[k].as_buffer(), np.float64).reshape(n, -1) for c, n in ((1, len(q)), (3, len(v))))
+                if x.shape[1] != y.shape[1]:
+                    raise ValueError(f"vectors of {x.shape[1]} and {y.shape[1]} numbers")
+                score = np.round(x @ y.T, 6)
+                # more than top_k where the last place is tied, so that ties are broken by id over all blocks
+                edge = np.partition(score, max(0, len(v) - top_k), axis=1)[:, max(0, len(v) - top_k)]
+                i, j = np.nonzero(score >= edge[:, None])
+                yield pa.RecordBatch.from_arrays([q.take(pa.array(i)), v.take(pa.array(j)), pa.array(score[i, j])], ["q", "id", "score"])
+
+    left, right = blocked(queries.select(query_id, vector_col), "q"), blocked(spread(vectors.select(id_col, vector_col)), "v")
+    kinds = [d.schema[0].dataType.simpleString() for d in (queries.select(query_id), vectors.select(id_col))]
+    scored = right.crossJoin(left).select("q_ids", "q_matrix", "v_ids", "v_matrix").mapInArrow(meet, f"q {kinds[0]}, id {kinds[1]}, score double")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= top_k).select(F.col("q").alias(query_id), F.col("id").alias(id_col), "rank", "score")
 
@@ -80,6 +133,7 @@ def hash_features(text):
 
 def hash_embedding(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id_col, idx, value: the non-zero entries of unit vectors of DIM numbers."""
+    rows = spread(rows.select(id_col, text_col))
     f = rows.select(F.col(id_col).alias("id"), F.explode(hash_features(F.col(text_col))).alias("p")).groupBy("id", F.col("p.f").alias("f")).agg(F.sum("p.x").alias("x"))
     h = F.sha2(F.col("f").cast("binary"), 256)
     idx = F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(DIM))
@@ -87,3 +141,9 @@ def hash_embedding(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     sums = f.groupBy("id", idx.alias("idx")).agg(F.sum(F.col("x") * sign).alias("v"))
     norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("id")))
     return sums.withColumn("norm", norm).where("norm > 0 and abs(v) > 1e-9").select(F.col("id").alias(id_col), "idx", F.round(F.col("v") / F.col("norm"), 6).alias("value"))
+
+
+def dense_embedding(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id_col and vector: the hashing embedder's unit vectors of DIM numbers; texts without features have no row."""
+    found = hash_embedding(rows, id_col, text_col).groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("idx", "value"))).alias("m"))
+    return found.select(id_col, F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)), lambda i: F.coalesce(F.element_at("m", i.cast("long")), F.lit(0.0))).alias("vector"))

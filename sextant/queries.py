@@ -43,7 +43,7 @@ def _stem(t: str) -> str:
     return f"""CASE WHEN regexp_full_match({t}, '[a-z]+') THEN
  CASE WHEN length({t}) > 4 AND {t} LIKE '%ies' THEN left({t}, length({t}) - 3) || 'y'
  WHEN length({t}) > 5 AND regexp_matches({t}, '(ches|shes|sses|xes|zes)$') THEN left({t}, length({t}) - 2)
- WHEN length({t}) > 4 AND {t} LIKE '%s' AND NOT regexp_matches({t}, '(ss|us|is)$') THEN left({t}, length({t}) - 1)
+ WHEN length({t}) > 4 AND {t} LIKE '%s' AND NOT regexp_matches({t}, '(ss|us|sis)$') THEN left({t}, length({t}) - 1)
  ELSE {t} END ELSE {t} END"""
 
 
@@ -93,7 +93,7 @@ def mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({_tokens('text')}) AS term FROM documents) GROUP BY term")
 def term_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.document_frequency(search.postings(_t(spark, sf_dir, "documents"), "doc_id", "text")[0])
+    return search.term_df(_t(spark, sf_dir, "documents"), "text")
 
 
 @query(f"SELECT doc_id, len({_tokens('text')}) AS n_tokens, array_to_string({_tokens('text')}, ' ') AS tokens FROM documents")
@@ -121,10 +121,11 @@ def hash_embedding_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.hash_embedding(_t(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query(f"""WITH t AS (SELECT item_id, list_distinct({_tokens('text')}) AS a, list_distinct({_tokens("lead(text) OVER (ORDER BY item_id)")}) AS b FROM benchmark)
+@query(f"""WITH t AS (SELECT item_id, list_distinct({_tokens('b.text')}) AS a, list_distinct({_tokens("n.text")}) AS b FROM benchmark b LEFT JOIN (SELECT item_id - 1 AS item_id, text FROM benchmark) n USING (item_id))
  SELECT item_id, round(CASE WHEN len(a) > 0 AND len(b) > 0 THEN len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) ELSE 0.0 END, 6) AS jaccard FROM t""")
 def lexical_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = _t(spark, sf_dir, "benchmark").select("item_id", "text", F.lead("text").over(Window.orderBy("item_id")).alias("next"))
+    items = _t(spark, sf_dir, "benchmark")
+    pairs = items.join(items.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("next")), "item_id", "left")
     return pairs.select("item_id", F.round(T.jaccard(T.tokenize(F.col("text")), T.tokenize(F.col("next"))), 6).alias("jaccard"))
 
 
@@ -141,12 +142,12 @@ def _lists(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
 
 
 @query(_LISTS + """, u AS (SELECT q, id, score AS v, 0.0 AS k, 0.0 AS s, 1 AS l FROM v UNION ALL SELECT q, id, 0.0, score, 0.0, 2 FROM k UNION ALL SELECT q, id, 0.0, 0.0, score, 3 FROM s),
- g AS (SELECT q, id, max(v) AS v, max(k) AS k, max(s) AS s FROM u GROUP BY ALL), h AS (SELECT q, bool_or(l = 1) AS hv, bool_or(l = 2) AS hk, bool_or(l = 3) AS hs FROM u GROUP BY q)
- SELECT q, id, round(v, 6) AS vector_score, round(k, 6) AS keyword_score, round(s, 6) AS section_score, round(CASE WHEN hv AND hk AND hs THEN greatest(0.7 * v + 0.3 * k, 0.65 * s + 0.35 * (0.7 * v + 0.3 * k))
- WHEN hv AND hk THEN 0.7 * v + 0.3 * k WHEN hs THEN greatest(v, k, s) WHEN hv THEN v ELSE k END, 6) AS score FROM g JOIN h USING (q)""")
+ g AS (SELECT q, id, max(v) AS v, max(k) AS k, max(s) AS s, 0.7::DOUBLE * max(v) + (1 - 0.7::DOUBLE) * max(k) AS m FROM u GROUP BY ALL), h AS (SELECT q, bool_or(l = 1) AS hv, bool_or(l = 2) AS hk, bool_or(l = 3) AS hs FROM u GROUP BY q)
+ SELECT q, id, round(v, 6) AS vector_score, round(k, 6) AS keyword_score, round(s, 6) AS section_score, round(CASE WHEN hv AND hk AND hs THEN greatest(m, 0.65::DOUBLE * s + 0.35::DOUBLE * m)
+ WHEN hv AND hk THEN m WHEN hs THEN greatest(v, k, s) WHEN hv THEN v ELSE k END, 8) AS score FROM g JOIN h USING (q)""")
 def hybrid_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fusion.merge(*_lists(spark, sf_dir))
-    return found.select("q", "id", *[F.round(c, 6).alias(c) for c in ("vector_score", "keyword_score", "section_score", "score")])
+    return found.select("q", "id", *[F.round(c, 6).alias(c) for c in ("vector_score", "keyword_score", "section_score")], F.round("score", 8).alias("score"))  # 7 places at most, so no tie
 
 
 @query(_LISTS + """, u AS (SELECT 1 AS l, * FROM v UNION ALL SELECT 2, * FROM k UNION ALL SELECT 3, * FROM s),
@@ -190,15 +191,15 @@ def entity_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 _INTENT = "CASE " + " ".join(f"WHEN {_contains('lower(text)', p)} THEN '{k}'" for k, p in U.INTENTS.items()) + " ELSE 'qa' END"
 
 
-@query(f"SELECT conv_id, turn, {_INTENT} AS intent FROM conversations WHERE text IS NOT NULL")
+@query(f"SELECT conv_id, turn, {_INTENT} AS intent FROM conversations")
 def intent_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", U.intent(F.col("text")).alias("intent"))
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", U.intent(F.col("text")).alias("intent"))
 
 
-@query(f"""SELECT conv_id, turn, regexp_matches(lower(text), '[{U.VIETNAMESE}]') OR len(list_intersect(string_split({_squeeze("translate(lower(text), 'đơư', 'dou')")}, ' '), {_words(U.VIETNAMESE_WORDS)})) > 0 AS vietnamese
- FROM conversations WHERE text IS NOT NULL""")
+@query(f"""SELECT conv_id, turn, coalesce(regexp_matches(lower(text), '[{U.VIETNAMESE}]') OR len(list_intersect(string_split({_squeeze("translate(lower(text), 'đơư', 'dou')")}, ' '), {_words(U.VIETNAMESE_WORDS)})) > 0, false) AS vietnamese
+ FROM conversations""")
 def vietnamese_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", U.is_vietnamese(F.col("text")).alias("vietnamese"))
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", U.is_vietnamese(F.col("text")).alias("vietnamese"))
 
 
 @query(f"""WITH t AS (SELECT conv_id, turn, {_tokens('text')} AS k FROM conversations)
@@ -216,12 +217,12 @@ def last_user_message(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.with_last_user_message(_t(spark, sf_dir, "conversations")).select("conv_id", "turn", "previous")
 
 
-@query(f"""WITH p AS (SELECT conv_id, turn, {_STRIP % 'text'} AS q, {_LAST} AS previous FROM conversations),
+@query(f"""WITH p AS (SELECT conv_id, turn, {_STRIP % "coalesce(text, '')"} AS q, {_LAST} AS previous FROM conversations),
  t AS (SELECT *, regexp_extract_all(lower(q), '{_TOKEN}') AS k FROM p)
  SELECT conv_id, turn, CASE WHEN len(k) > 0 AND (len(list_intersect(k, {_words(U.FOLLOW_WORDS)})) > 0 OR {_contains('lower(q)', U.FOLLOW_PHRASES)} OR (NOT list_contains({_words(U.STARTERS)}, k[1]) AND len(k) <= 3))
- AND coalesce(previous, '') <> '' THEN previous || chr(10) || 'Follow-up: ' || q ELSE q END AS query FROM t WHERE q IS NOT NULL""")
+ AND coalesce(previous, '') <> '' THEN previous || chr(10) || 'Follow-up: ' || q ELSE q END AS query FROM t""")
 def followup_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = U.with_last_user_message(_t(spark, sf_dir, "conversations")).where("text is not null")
+    rows = U.with_last_user_message(_t(spark, sf_dir, "conversations"))
     return rows.select("conv_id", "turn", U.rewrite_follow_up(F.col("text"), F.col("previous")).alias("query"))
 
 
@@ -232,11 +233,11 @@ def claim_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH t AS (SELECT conv_id, turn, {_INTENT} AS kind, len({_tokens('text')}) <= 7 AND len(list_filter({_tokens('text')}, lambda w: (length(w) > 2 OR w = 'ai') AND NOT list_contains({_words(T.RETRIEVAL_STOPS)}, w))) <= 3 AS short
- FROM conversations WHERE text IS NOT NULL), k AS (SELECT *, CASE WHEN kind = 'summary' THEN 10 WHEN kind <> 'qa' THEN 7 WHEN short THEN 4 ELSE 5 END AS top_k FROM t)
+ FROM conversations), k AS (SELECT *, CASE WHEN kind = 'summary' THEN 10 WHEN kind <> 'qa' THEN 7 WHEN short THEN 4 ELSE 5 END AS top_k FROM t)
  SELECT conv_id, turn, top_k, CASE WHEN kind = 'summary' THEN 0.0 WHEN kind <> 'qa' THEN 0.2 WHEN short THEN 0.35 ELSE 0.3 END::DOUBLE AS threshold,
  greatest(CASE WHEN kind <> 'qa' OR short THEN 6 * top_k ELSE 8 * top_k END, CASE WHEN kind = 'summary' THEN 60 WHEN kind <> 'qa' THEN 50 WHEN short THEN 30 ELSE 40 END) AS candidate_k, kind <> 'qa' AS force_parent FROM k""")
 def retrieval_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", U.retrieval_plan(F.col("text")).alias("p")).select("conv_id", "turn", "p.*")
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", U.retrieval_plan(F.col("text")).alias("p")).select("conv_id", "turn", "p.*")
 
 
 @query(f"""WITH n AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE text <> ''), w AS (SELECT doc_id, unnest(range(0, greatest(0, ceil((n - 900) / 750.0))::BIGINT + 1)) AS i, text FROM n)
@@ -297,10 +298,10 @@ def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.context(top.select(F.col("item_id").alias("q"), "rank", "file_name", "page", "chunk_id", "text"))
 
 
-@query(f"SELECT conv_id, turn, lower({_squeeze('text')}) IN ('{A.REFUSAL_EN.lower()}', '{A.REFUSAL_VI.lower()}') AS refusal, regexp_matches(text, '\\[\\d+(\\s*,\\s*\\d+)*\\]') AS cited, {_contains('lower(' + _squeeze('text') + ')', E.UNSUPPORTED)} AS unsupported FROM conversations WHERE text IS NOT NULL")
+@query(f"SELECT conv_id, turn, lower({_squeeze('t')}) IN ('{A.REFUSAL_EN.lower()}', '{A.REFUSAL_VI.lower()}') AS refusal, regexp_matches(t, '\\[\\d+(\\s*,\\s*\\d+)*\\]') AS cited, {_contains('lower(' + _squeeze('t') + ')', E.UNSUPPORTED)} AS unsupported FROM (SELECT *, coalesce(text, '') AS t FROM conversations)")
 def refusal_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.col("text")
-    return _t(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", A.is_refusal(text).alias("refusal"), text.rlike(A.CITATION).alias("cited"), E.claim_unsupported(text).alias("unsupported"))
+    text = F.coalesce("text", F.lit(""))
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", A.is_refusal(text).alias("refusal"), text.rlike(A.CITATION).alias("cited"), E.claim_unsupported(text).alias("unsupported"))
 
 
 @query()
