@@ -11,8 +11,8 @@ DEPTH before it) of all texts are counted once each. Contexts that share their l
 their few nodes at that depth are mixed by their last two bytes, and those of one byte and none, 65,535 at most, on the driver.
 On the way back down each gram gets its probability. Words are counted by 64-bit hashes.
 
-Texts are scored with the values of grams and words that make up at least 1 / COMMON of all bytes or training tokens, so at most
-COMMON of each, in tables of every worker; all others are looked up by a join.
+Texts are scored with the values of the most frequent grams and words, COMMON of each at most, in tables of every
+worker; all others are looked up by a join.
 """
 
 from __future__ import annotations
@@ -268,7 +268,7 @@ class Table:
     MULTIPLIER, EMPTY = np.uint64(0x9E3779B97F4A7C15), np.uint64((1 << 64) - 1)
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.bits = max(4, int(1.4 * len(keys)).bit_length())
         self.keys, self.values = np.full(1 << self.bits, self.EMPTY), np.zeros(1 << self.bits)
         at, todo = self.slot(keys), np.arange(len(keys))
         while len(todo):
@@ -301,6 +301,20 @@ class Table:
         return out, hit
 
 
+def common(rows: DataFrame) -> Table:
+    """The values of the most frequent keys (key, n, value), COMMON at most; of equally frequent ones that don't all fit some, by hash."""
+    level = F.floor(8 * F.log2("n"))
+    sizes = sorted(((r["level"], r["m"]) for r in rows.where("n > 0").groupBy(level.alias("level")).agg(F.count("*").alias("m")).collect()), reverse=True)  # eight for each doubling
+    room, some = COMMON, F.lit(False)
+    for k, m in sizes:
+        some = some | ((level == k) & (F.pmod(F.xxhash64("key"), F.lit(1000)) < min(1000, 950 * room // m) if m > room else level == k))
+        room -= m
+        if room <= 0:
+            break
+    found = rows.where((F.col("n") > 0) & some).select("key", "value").limit(COMMON).toArrow()
+    return Table(found["key"].to_numpy().view(np.uint64), found["value"].to_numpy())
+
+
 def _others(kind: int, owner: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, ...]:
     """Owner, kind, key and how often, of distinct pairs of owner and key."""
     order = np.lexsort((key, owner))
@@ -330,11 +344,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     grams = weigh(counts.where(F.col("kind") == GRAM).select("key", "n"))
     words = counts.where(F.col("kind") == TOKEN).select("key", "n", F.log10((F.col("n") + 1) / F.lit(below)).alias("value"))
 
-    def common(rows: DataFrame, total: int) -> Table:
-        found = rows.where((F.col("n") * COMMON >= total) & (F.col("n") > 0)).select("key", "value").toArrow()  # COMMON at most
-        return Table(found["key"].to_numpy().view(np.uint64), found["value"].to_numpy())
-
-    tables = spark.sparkContext.broadcast((common(words, n_all), common(grams, n_bytes)))
+    tables = spark.sparkContext.broadcast((common(words), common(grams)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_words, of_grams = tables.value

@@ -282,7 +282,7 @@ def test_op5_against_brute_force(spark):
 
     frame = spark.createDataFrame([(k, t, on) for k, (t, on) in enumerate(zip(texts, train, strict=True))], "doc_id long, text string, key boolean")
     before = ctw.COMMON
-    for common in (before, 1 << 5):
+    for common in (before, 40):
         ctw.COMMON = common
         try:
             found = {r["doc_id"]: r for r in ctw.score(frame.repartition(3), frame["key"]).collect()}
