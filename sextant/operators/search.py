@@ -16,15 +16,9 @@ K1, B, DIM = 1.5, 0.75, 384
 BLOCK = 2048
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """rows over all cores if they come in fewer partitions, as one small file does; a large table stays as it is."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
-
-
 def postings(chunks: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(term, id, tf) and (id, length) of all chunks, also those without tokens."""
-    tokens = spread(chunks.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).select("id", T.words(F.col("text")).alias("words"))
+    tokens = chunks.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).select("id", T.words(F.col("text")).alias("words"))
     found = tokens.select("id", F.explode("words").alias("word")).groupBy("id", T.stem(F.col("word")).alias("term")).agg(F.count("*").alias("tf"))
     return found.select("term", "id", "tf"), tokens.select("id", F.size("words").alias("length"))
 
@@ -35,7 +29,7 @@ def document_frequency(found: DataFrame) -> DataFrame:
 
 def term_df(chunks: DataFrame, text_col: str) -> DataFrame:
     """term and df: each chunk's distinct terms are found where it stands, so only partial counts by term move."""
-    words = spread(chunks.select(F.col(text_col).alias("text"))).select(F.array_distinct(T.words(F.lower("text"))).alias("words"))
+    words = chunks.select(F.col(text_col).alias("text")).select(F.array_distinct(T.words(F.lower("text"))).alias("words"))
     return words.select(F.explode(F.array_distinct(F.transform("words", T.stem))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
@@ -47,7 +41,7 @@ def bm25(queries: DataFrame, chunks: DataFrame, query_id: str, query_text: str,
     read the same exchange.
     """
     asked = queries.select(F.col(query_id).alias("q"), F.explode(T.tokenize(F.col(query_text))).alias("term")).groupBy("q", "term").agg(F.count("*").alias("qtf"))
-    tokens = spread(chunks.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).select("id", T.words(F.col("text")).alias("words"))
+    tokens = chunks.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).select("id", T.words(F.col("text")).alias("words"))
     rows = tokens.select("id", F.size("words").alias("length"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "words")).alias("word"))
     terms = asked.select("term").distinct().unionByName(asked.sparkSession.createDataFrame([("",)], "term string"))  # the empty term stands for the chunk itself
     every = rows.withColumn("term", F.coalesce(T.stem(F.col("word")), F.lit(""))).join(terms, "term", "left_semi")
@@ -111,7 +105,7 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, query_id: str, id_col: s
                 i, j = np.nonzero(score >= edge[:, None])
                 yield pa.RecordBatch.from_arrays([q.take(pa.array(i)), v.take(pa.array(j)), pa.array(score[i, j])], ["q", "id", "score"])
 
-    left, right = blocked(queries.select(query_id, vector_col), "q"), blocked(spread(vectors.select(id_col, vector_col)), "v")
+    left, right = blocked(queries.select(query_id, vector_col), "q"), blocked(vectors.select(id_col, vector_col), "v")
     kinds = [d.schema[0].dataType.simpleString() for d in (queries.select(query_id), vectors.select(id_col))]
     scored = right.crossJoin(left).select("q_ids", "q_matrix", "v_ids", "v_matrix").mapInArrow(meet, f"q {kinds[0]}, id {kinds[1]}, score double")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "id"))
@@ -133,7 +127,6 @@ def hash_features(text):
 
 def hash_embedding(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id_col, idx, value: the non-zero entries of unit vectors of DIM numbers."""
-    rows = spread(rows.select(id_col, text_col))
     f = rows.select(F.col(id_col).alias("id"), F.explode(hash_features(F.col(text_col))).alias("p")).groupBy("id", F.col("p.f").alias("f")).agg(F.sum("p.x").alias("x"))
     h = F.sha2(F.col("f").cast("binary"), 256)
     idx = F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(DIM))

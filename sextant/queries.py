@@ -35,6 +35,10 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.read_table(spark, f"{sf_dir}/documents.parquet")
+
+
 _TOKEN = r"[\p{L}\p{N}_\x{00c0}-\x{1ef9}]+"
 _WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -77,13 +81,13 @@ _BM25 = f"""WITH tok AS (SELECT doc_id, {_tokens('text')} AS tokens FROM documen
 
 @query(_BM25 + " SELECT item_id, doc_id, rank, round(raw / max(raw) OVER (PARTITION BY item_id), 6) AS score FROM r WHERE rank <= 10")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.bm25(_t(spark, sf_dir, "benchmark"), _t(spark, sf_dir, "documents"), "item_id", "text", "doc_id", "text", 10)
+    return search.bm25(_t(spark, sf_dir, "benchmark"), _docs(spark, sf_dir), "item_id", "text", "doc_id", "text", 10)
 
 
 @query(_BM25 + """ , h AS (SELECT item_id, rank, contains(d.text, b.text) AS relevant FROM r JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id) WHERE rank <= 10)
  SELECT item_id, round(coalesce(1.0 / min(CASE WHEN relevant THEN rank END), 0.0), 6) AS rr, max(relevant AND rank <= 5) AS hit_at_5 FROM h GROUP BY item_id""")
 def mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items, docs = _t(spark, sf_dir, "benchmark"), _t(spark, sf_dir, "documents")
+    items, docs = _t(spark, sf_dir, "benchmark"), _docs(spark, sf_dir)
     top = search.bm25(items, docs, "item_id", "text", "doc_id", "text", 10)
     hits = top.join(docs.select("doc_id", F.col("text").alias("body")), "doc_id").join(items, "item_id").withColumn("relevant", F.col("body").contains(F.col("text")))
     rr = E.reciprocal_rank(hits.select(F.col("item_id").alias("q"), "rank", "relevant"))
@@ -93,13 +97,13 @@ def mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({_tokens('text')}) AS term FROM documents) GROUP BY term")
 def term_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.term_df(_t(spark, sf_dir, "documents"), "text")
+    return search.term_df(_docs(spark, sf_dir), "text")
 
 
 @query(f"SELECT doc_id, len({_tokens('text')}) AS n_tokens, array_to_string({_tokens('text')}, ' ') AS tokens FROM documents")
 def tokenize_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = T.tokenize(F.col("text"))
-    return _t(spark, sf_dir, "documents").select("doc_id", F.size(tokens).cast("long").alias("n_tokens"), F.array_join(tokens, " ").alias("tokens"))
+    return _docs(spark, sf_dir).select("doc_id", F.size(tokens).cast("long").alias("n_tokens"), F.array_join(tokens, " ").alias("tokens"))
 
 
 @query("""WITH p AS (SELECT q.vec_id AS q_id, v.vec_id AS vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score
@@ -118,7 +122,7 @@ def distance_to_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def hash_embedding_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.hash_embedding(_t(spark, sf_dir, "documents"), "doc_id", "text")
+    return search.hash_embedding(_docs(spark, sf_dir), "doc_id", "text")
 
 
 @query(f"""WITH t AS (SELECT item_id, list_distinct({_tokens('b.text')}) AS a, list_distinct({_tokens("n.text")}) AS b FROM benchmark b LEFT JOIN (SELECT item_id - 1 AS item_id, text FROM benchmark) n USING (item_id))
@@ -169,7 +173,7 @@ def threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def mmr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items, docs = _t(spark, sf_dir, "benchmark"), _t(spark, sf_dir, "documents")
+    items, docs = _t(spark, sf_dir, "benchmark"), _docs(spark, sf_dir)
     top = search.bm25(items, docs, "item_id", "text", "doc_id", "text", 40)
     rows = top.join(docs.select("doc_id", T.tokenize(F.col("text")).alias("terms")), "doc_id").join(items.select("item_id", T.tokenize(F.col("text")).alias("query_terms")), "item_id")
     return fusion.mmr(rows.select(F.col("item_id").alias("q"), F.col("doc_id").alias("id"), "score", "terms", "query_terms"), 5)
@@ -177,7 +181,7 @@ def mmr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best documents of each benchmark passage, which stands for the question."""
-    items, docs = _t(spark, sf_dir, "benchmark"), _t(spark, sf_dir, "documents")
+    items, docs = _t(spark, sf_dir, "benchmark"), _docs(spark, sf_dir)
     top = search.bm25(items, docs, "item_id", "text", "doc_id", "text", 5)
     rows = top.join(docs.select("doc_id", "text"), "doc_id").join(items.select("item_id", F.col("text").alias("question")), "item_id")
     return rows.select(F.col("item_id").alias("q"), F.col("doc_id").alias("id"), "question", "text", "score", F.lit(None).cast("string").alias("section_title"))
@@ -245,38 +249,38 @@ def retrieval_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def window_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
     last = F.greatest(F.lit(0), F.ceil((F.length(text) - 900) / F.lit(750))).cast("int")
-    rows = _t(spark, sf_dir, "documents").where("text <> ''").select("doc_id", text, F.explode(F.sequence(F.lit(0), last)).alias("place"))
+    rows = _docs(spark, sf_dir).where("text <> ''").select("doc_id", text, F.explode(F.sequence(F.lit(0), last)).alias("place"))
     cut = rows.select("doc_id", F.col("place").cast("long").alias("place"), T.strip(F.substring(text, F.col("place") * 750 + 1, F.lit(900))).alias("chunk"))
     return cut.where("chunk <> ''")
 
 
 @query("SELECT doc_id, CASE WHEN length(text) <= 3000 THEN text ELSE regexp_replace(substr(text, 1, 3000), ' [^ ]*$', '') END AS parent FROM documents")
 def parent_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "documents").select("doc_id", T.trim_parent(F.col("text")).alias("parent"))
+    return _docs(spark, sf_dir).select("doc_id", T.trim_parent(F.col("text")).alias("parent"))
 
 
 @query("SELECT doc_id, regexp_replace(regexp_replace(text, '[ \\t\\f\\x0b]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g') AS text FROM documents")
 def collapse_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "documents").select("doc_id", T.collapse(F.col("text")).alias("text"))
+    return _docs(spark, sf_dir).select("doc_id", T.collapse(F.col("text")).alias("text"))
 
 
 @query("SELECT lang, count(*) AS n, min(length(coalesce(text, ''))) AS shortest, max(length(coalesce(text, ''))) AS longest, round(avg(length(coalesce(text, ''))), 2) AS mean, sum(length(coalesce(text, '')))::BIGINT AS total FROM documents GROUP BY lang")
 def text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "documents").groupBy("lang").agg(*files.text_stats(F.col("text")))
+    return _docs(spark, sf_dir).groupBy("lang").agg(*files.text_stats(F.col("text")))
 
 
 @query(f"SELECT doc_id, CASE WHEN length({_squeeze('text')}) <= 120 THEN {_squeeze('text')} ELSE substr({_squeeze('text')}, 1, 117) || '...' END AS short FROM documents")
 def shorten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "documents").select("doc_id", T.shorten(F.col("text"), 120).alias("short"))
+    return _docs(spark, sf_dir).select("doc_id", T.shorten(F.col("text"), 120).alias("short"))
 
 
 @query()
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "documents").select("doc_id", chunking.clean(F.col("text")).alias("text"))
+    return _docs(spark, sf_dir).select("doc_id", chunking.clean(F.col("text")).alias("text"))
 
 
 def _document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _t(spark, sf_dir, "documents")
+    docs = _docs(spark, sf_dir)
     return docs.select(chunking.clean(F.col("text")).alias("text"), F.col("doc_id").cast("string").alias("file_id"), F.concat(F.lit("doc_"), F.col("doc_id")).alias("file_name"), F.lit(1).alias("page"), F.lit(None).cast("int").alias("paragraph_index"))
 
 
@@ -312,7 +316,7 @@ def answer_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def context_support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items, docs = _t(spark, sf_dir, "benchmark"), _t(spark, sf_dir, "documents")
+    items, docs = _t(spark, sf_dir, "benchmark"), _docs(spark, sf_dir)
     top = search.bm25(items, docs, "item_id", "text", "doc_id", "text", 1).join(docs.select("doc_id", F.col("text").alias("body")), "doc_id").join(items, "item_id")
     return top.select("item_id", A.support(F.col("text"), F.col("body"), F.col("score"), F.lit(0.0)).alias("support"))
 
@@ -321,7 +325,7 @@ def context_support(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT doc_id, round(len(list_filter(k, lambda x: contains(coalesce(t, ''), lower(x)))) / len(k), 6) AS rate FROM k""")
 def keyword_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = E.parse_keywords(F.concat(F.col("lang"), F.lit("; "), F.col("source"), F.lit(" ;the")))
-    return _t(spark, sf_dir, "documents").select("doc_id", F.round(E.keyword_rate(words, F.col("text")), 6).alias("rate"))
+    return _docs(spark, sf_dir).select("doc_id", F.round(E.keyword_rate(words, F.col("text")), 6).alias("rate"))
 
 
 @query("""WITH b AS (SELECT event_id, event_id % 3 > 0 AS a, event_id % 4 > 0 AS p, event_id % 5 > 1 AS h, event_id % 7 AS n, (event_id % 7) / 7.0 AS r, (event_id % 11) / 11.0 AS t FROM events),

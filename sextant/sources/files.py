@@ -5,6 +5,8 @@ from __future__ import annotations
 import io
 import json
 import re
+import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import PurePath
@@ -60,6 +62,28 @@ def load_documents(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.substring(F.sha2("content", 256), 1, 12).alias("file_id"), "content").mapInPandas(read, DOCUMENT)
 
 
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table, over all cores if it comes in fewer partitions, as one small file does; a large table stays as it is."""
+    rows, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+def written(rows: DataFrame, label: str) -> DataFrame:
+    """rows as a Parquet table in the folder that spark.checkpoint.dir names: computed once, and not again when executors go.
+
+    Only a local session without the setting gets a folder here.
+    """
+    spark = rows.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = f"file://{tempfile.gettempdir()}/tables"
+    path = f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def questions(raw: DataFrame) -> DataFrame:
     """Typed questions with defaults from text columns."""
     yes = parse_bool(F.col("is_answerable"))
