@@ -113,27 +113,48 @@ def test_large_windows_lose_no_pair_to_an_unverified_one():
     assert {tuple(sorted(p)) for p in pairs} == set(combinations(range(100), 2))
     dense = []
     assert len(similar.bucket_pairs(np.zeros(100, np.int64), np.arange(100), sig, 50, dense)[0]) == 0 and dense == [(0, 100)]
-    links = {tuple(sorted(p)) for a, b, sure in similar.dense_pairs(np.arange(100), sig, np.zeros(100, bool), 50, 5, 20) for p in zip(a.tolist(), b.tolist(), strict=True)}
-    assert links == set(combinations(range(1, 100), 2))
-    joined = [(int(x), int(y)) for a, b, sure in similar.dense_pairs(np.arange(100), sig, np.ones(100, bool), 50, 20, 20) for x, y in zip(a, b, strict=True) if sure.all()]
-    label = forest(100, *np.array([sorted(p) for p in joined]).T)
-    assert (label == [0, *[1] * 99]).all()
-
-
-def test_dense_windows_are_settled_by_whole_fingerprints(spark):
-    gen = np.random.default_rng(2)
-    bits = np.tile(gen.integers(0, 2, 1024, dtype=np.uint8), (150, 1))
-    for k in range(0, 150, 2):  # two of a family differ in about 200 bits, about 45 of the first 256; twins in 5
-        flip = gen.choice(np.setdiff1d(np.arange(1024), np.arange(256, 272)), 110, replace=False)
-        bits[k : k + 2, flip] ^= 1
-        bits[k + 1, 600:605] ^= 1
-    rows = [(k + 1, k + 1, np.packbits(b).tobytes(), 500) for k, b in enumerate(bits)]
-    classes = spark.createDataFrame(rows, "node long, root long, bits binary, n long")
-    found = similar.candidates(classes, 60, 16, 1, False)
-    for sure in (0, 20):
-        links = similar.settled(found.where("key is not null"), classes, 60, sure, 100).collect()
-        assert {(min(r["a"], r["b"]), max(r["a"], r["b"]), r["sure"]) for r in links} == {(k, k + 1, sure == 20) for k in range(1, 150, 2)}
-    assert found.where("key is null").count() == 0
+
+
+def test_joining_links_span_all_links():
+    """Whatever decides a pair, the links of a group connect what all pairs with this similarity connect, and are a forest."""
+    gen = np.random.default_rng(4)
+    base = np.arange(60, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((base[: 60 - k % 9], gen.integers(1000, 1 << 40, k % 9 + 2, dtype=np.uint64)))) for k in range(120)]
+    bits = np.zeros((120, 48), np.uint64)
+    for sides in (np.zeros(120, int), np.arange(120) % 2):
+        want = {(a, b) for a, b in combinations(range(120), 2) if (sides[0] == sides[1] or sides[a] != sides[b]) and similar.alike_sets(sets[a], sets[b], 0.8)}
+        root = np.arange(120) // 2 * 2
+        links = list(similar.joining_links(root, sides, bits, np.zeros(120, bool), sets, 50, 5, 20, 0.8))
+        assert {tuple(sorted(p)) for p in links} <= want and len(links) < 60
+        label = lambda pairs: forest(120, *np.array(sorted({(min(p), max(p)) for p in pairs} | {(k // 2 * 2, k) for k in range(120)})).T)
+        assert (label(links) == label(want)).all()
+    sure = list(similar.joining_links(np.arange(120), np.zeros(120, int), bits, np.ones(120, bool), [np.zeros(0, np.uint64)] * 120, 50, 5, 20, 0.8))
+    assert len(sure) == 119  # equal bits of long texts need no sets
+
+
+def test_dense_groups_meet_once_in_tiles_and_by_window(spark):
+    family = [words(60) for _ in range(2)]
+    rows = []
+    for k in range(300):  # texts of a family share 32 of 56 shingles, twins nearly all
+        own = list(family[k % 2])
+        own[40:] = words(20)
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join([*own[:-1], "twin"]))]
+    src = spark.createDataFrame(rows, "id long, text string")
+    sets = {k: shingles(t) for k, t in rows}
+    texts = [t.encode() for _, t in rows]
+    bits, n = similar.long_fingerprints(texts, 5, 1), [len(sets[k]) for k, _ in rows]
+    classes = src.sparkSession.createDataFrame([(k, b.tobytes(), m) for (k, _), b, m in zip(rows, bits, n, strict=True)], "low long, bits binary, n long").selectExpr("xxhash64(bits) node", "low", "bits", "n")
+    node = {r["low"]: r["node"] for r in classes.collect()}
+    back = {v: k for k, v in node.items()}
+    dense = spark.createDataFrame([(node[k], node[k], key) for k, _ in rows for key in (k // 2 % 2, 10 + k // 2 % 2)], "a long, b long, key long")
+    before = similar.GROUP, similar.TILE
+    for size in (before, (1 << 30, 40_000), (1000, 60_000)):
+        similar.GROUP, similar.TILE = size
+        try:
+            found = similar.dense_links(dense, classes, src, 256, 0, 1024, 0.8, 5, 1).collect()
+        finally:
+            similar.GROUP, similar.TILE = before
+        assert {tuple(sorted((back[r["a"]], back[r["b"]]))) for r in found} == {(2 * k, 2 * k + 1) for k in range(300)}
 
 
 def test_odd_tables(spark):
