@@ -22,6 +22,9 @@ cho cua của dau den đâu đến la là o ở toi tới trong tu từ ve về"
 SUPPORT_STOPS = """a an and are as by can could did do does document for from how in information is main of on or paper provided question
 report study the this to what when where whether why with""".split()
 
+#: Words without content when a sentence is compared with its sources.
+CITATION_STOPS = "a an and are as at by for from in is it of on or that the this to with according provided document paper".split()
+
 
 def plain_tokens(text: str) -> list[str]:
     """What tokenize gives for a constant, in Python: rules of profiles are tokenised once."""
@@ -98,6 +101,14 @@ def shorten(text: Column, limit: int) -> Column:
     return F.when(F.length(t) <= limit, t).otherwise(F.concat(F.substring(t, 1, limit - 3), F.lit("...")))
 
 
+def keyword_form(text: Column) -> Column:
+    """Lower case, quarters spelled out, hyphens and underscores as spaces."""
+    out = F.lower(text)
+    for k in "1234":
+        out = F.replace(out, F.lit(f"q{k}"), F.lit(f" quarter {k} "))
+    return F.translate(out, "-_", "  ")
+
+
 def compact(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", "")
 

@@ -11,9 +11,9 @@ from .functions import chunking
 from .functions import text as T
 from .operators import answers as A
 from .operators import evaluation as E
-from .operators import evidence, fusion, search
+from .operators import evidence, fusion, profiles, rerank, search
 from .operators import understanding as U
-from .plans import answering
+from .plans import answering, retrieval
 from .sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -338,11 +338,34 @@ def retrieval_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "events").select("event_id", s.alias("s")).select("event_id", F.concat_ws("/", "s.status", "s.reason").alias("status"))
 
 
-@query("""SELECT count(*) AS total_questions, count(*) FILTER (q = 1) AS answerable_questions, count(*) FILTER (q <> 1) AS unanswerable_questions, round(coalesce(avg(CASE WHEN q = 1 THEN (doc_id % 10) / 10.0 END), 0.0), 6) AS mean_keyword_hit_rate,
- round(coalesce(avg(CASE WHEN q = 1 THEN 1.0 / (1 + doc_id % 5) END), 0.0), 6) AS mrr, round(avg(toxic::DOUBLE), 6) AS expected_behavior_accuracy FROM (SELECT doc_id, quality AS q, toxic FROM labels)""")
+def _mean(x: str, on: str = "true", none: str = "0.0") -> str:
+    return f"round(coalesce(avg(CASE WHEN {on} THEN {x} END), {none}), 6)"
+
+
+@query(f"""SELECT count(*) AS total_questions, count(*) FILTER (q) AS answerable_questions, count(*) FILTER (NOT q) AS unanswerable_questions,
+ {_mean('d % 10 / 10.0', 'q')} AS mean_keyword_hit_rate, {_mean('CASE WHEN d % 10 >= 3 THEN 1.0 ELSE 0.0 END', 'q')} AS keyword_recall_at_5,
+ {_mean('CASE WHEN d % 3 = 0 THEN 1.0 ELSE 0.0 END', 'q AND d % 2 = 0')} AS page_recall_at_5, {_mean('CASE WHEN d % 3 = 0 OR d % 10 >= 3 THEN 1.0 ELSE 0.0 END', 'q')} AS evidence_hit_at_5,
+ {_mean('1.0 / (1 + d % 5)', 'q')} AS mrr, {_mean('CASE WHEN q THEN d % 7 / 7.0 END', none='NULL')} AS citation_accuracy, NULL::DOUBLE AS citation_strict_accuracy,
+ NULL::DOUBLE AS citation_page_accuracy, NULL::DOUBLE AS citation_keyword_support, NULL::DOUBLE AS citation_weighted_score, {_mean('CASE WHEN NOT q THEN toxic::DOUBLE END', none='NULL')} AS refusal_accuracy,
+ NULL::DOUBLE AS unsupported_claim_accuracy, {_mean('toxic::DOUBLE', none='NULL')} AS expected_behavior_accuracy, {_mean('toxic::DOUBLE', 'q')} AS false_refusal_rate, {_mean('d % 100 / 8.0')} AS average_latency_seconds
+ FROM (SELECT doc_id AS d, quality = 1 AS q, toxic FROM labels)""")
 def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = F.col("doc_id")
-    return E.summarize(_t(spark, sf_dir, "labels").select((F.col("quality") == 1).alias("is_answerable"), ((d % 10) / 10.0).alias("keyword_rate"), (1.0 / (1 + d % 5)).alias("rr"), F.col("toxic").cast("double").alias("behavior_accuracy")))
+    d, yes, toxic = F.col("doc_id"), F.col("quality") == 1, F.col("toxic").cast("double")
+    rows = _t(spark, sf_dir, "labels").select(
+        yes.alias("is_answerable"),
+        (d % 2 == 0).alias("has_pages"),
+        (d % 10 / 10.0).alias("keyword_rate"),
+        (d % 10 >= 3).cast("double").alias("keyword_recall"),
+        (d % 3 == 0).cast("double").alias("page_recall"),
+        ((d % 3 == 0) | (d % 10 >= 3)).cast("double").alias("evidence_hit"),
+        (1.0 / (1 + d % 5)).alias("rr"),
+        F.when(yes, d % 7 / 7.0).alias("citation_accuracy"),
+        F.when(~yes, toxic).alias("refusal_accuracy"),
+        toxic.alias("behavior_accuracy"),
+        toxic.alias("false_refusal"),
+        (d % 100 / 8.0).alias("latency"),
+    )
+    return E.summarize(rows)
 
 
 @query("""WITH r AS (SELECT doc_id AS item, quality * 2 + toxic AS stratum, row_number() OVER (PARTITION BY quality * 2 + toxic ORDER BY doc_id) AS n FROM labels)
@@ -364,6 +387,142 @@ def answer_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answering.answer(asked, chunks)
 
 
+#: Rules for the queries below: words of the test tables' four languages.
+PROFILE = {
+    "query_expansions": {"the": ["article", "definite"], "in the": ["inside"], "und": ["sowie"], "que": ["lequel", "quoi"], "los": ["las"]},
+    "section_intents": {"frequent": {"query_terms": ["the", "und"], "section_terms": ["the", "und", "les"]}},
+    "retrieval_intents": {"english": {"query_terms": ["the", "and"], "section_terms": ["the"], "phrase_terms": ["of the", "in the", "that"]}, "other": {"query_terms": ["les", "und", "las"], "section_terms": ["les"], "phrase_terms": ["und die", "de la"]}},
+}
+
+
+def _rules() -> str:
+    parts = []
+    for trigger, terms in PROFILE["query_expansions"].items():
+        parts.append(f"CASE WHEN len(list_intersect(k, {_words(T.plain_tokens(trigger))})) = {len(T.plain_tokens(trigger))} THEN {_words(terms)} ELSE [] END")
+    return "flatten([" + ", ".join(parts) + "])"
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, text, {_tokens('text')} AS k FROM conversations), a AS (SELECT *, list_filter({_rules()}, lambda x: NOT contains(lower(text), x)) AS added FROM c)
+ SELECT conv_id, turn, CASE WHEN len(added) > 0 THEN text || chr(10) || 'Related retrieval terms: ' || array_to_string(added, ', ') ELSE text END AS query FROM a""")
+def query_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", profiles.expand_query(F.col("text"), PROFILE).alias("query"))
+
+
+@query()
+def query_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forms = F.posexplode(profiles.query_variants(profiles.expand_query(F.coalesce("text", F.lit("")), PROFILE), 4)).alias("place", "variant")
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", forms)
+
+
+@query(rf"""WITH w AS (SELECT doc_id, text, list_filter(string_split(coalesce(lang, '') || '-' || coalesce(source, '') || ';q1_' || doc_id % 3, ';'), lambda x: x <> '') AS k FROM documents),
+ n AS (SELECT doc_id, trim(coalesce(text, '')) <> '' AS ok, k, replace(replace(replace(replace(lower(coalesce(text, '')), 'q1', ' quarter 1 '), 'q2', ' quarter 2 '), 'q3', ' quarter 3 '), 'q4', ' quarter 4 ') AS l,
+ list_transform(k, lambda x: translate(replace(lower(x), 'q1', ' quarter 1 '), '-_', '  ')) AS m FROM w), t AS (SELECT doc_id, ok, k, translate(l, '-_', '  ') AS l, m FROM n),
+ b AS (SELECT doc_id, ok, k, m, l, regexp_replace(l, '[^\p{{L}}\p{{N}}]', '', 'g') AS c, list_distinct({_tokens('l')}) AS lt FROM t)
+ SELECT doc_id, CASE WHEN ok THEN round(len(list_filter(m, lambda x: contains(l, x) OR (regexp_replace(x, '[^\p{{L}}\p{{N}}]', '', 'g') <> '' AND contains(c, regexp_replace(x, '[^\p{{L}}\p{{N}}]', '', 'g')))
+ OR (len(lt) > 0 AND len({_tokens('x')}) > 0 AND len(list_intersect(list_distinct({_tokens('x')}), lt)) / len(list_distinct(list_concat(list_distinct({_tokens('x')}), lt))) >= 0.6))) / len(k), 6) ELSE 0.0 END AS coverage FROM b""")
+def keyword_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = E.parse_keywords(F.concat(F.coalesce("lang", F.lit("")), F.lit("-"), F.coalesce("source", F.lit("")), F.lit(";q1_"), (F.col("doc_id") % 3).cast("string")))
+    return _docs(spark, sf_dir).select("doc_id", F.round(E.keyword_coverage(words, F.col("text")), 6).alias("coverage"))
+
+
+@query("""WITH b AS (SELECT event_id AS e, [event_id % 4, event_id % 9] AS gold, CASE WHEN event_id % 6 = 0 THEN [] ELSE [event_id % 5, event_id % 3] END AS pages, list_distinct([(event_id % 3)::INT, (event_id % 2)::INT + 1]) AS ids FROM events),
+ c AS (SELECT *, list_transform(list_filter(ids, lambda i: i >= 1 AND i <= len(pages)), lambda i: pages[i]) AS cited FROM b),
+ d AS (SELECT *, CASE WHEN len(list_intersect(cited, gold)) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS page, CASE WHEN list_contains(cited, e % 3) THEN 0.5 ELSE 0.0 END::DOUBLE AS keyword FROM c)
+ SELECT e AS event_id, page, keyword, round(0.6::DOUBLE * page + 0.4::DOUBLE * keyword, 6) AS weighted, CASE WHEN page >= 1 AND keyword >= 0.3 THEN 1.0 ELSE 0.0 END::DOUBLE AS relaxed, len(list_intersect(pages, gold)) > 0 AS page_hit FROM d""")
+def citation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    gold = F.array(e % 4, e % 9)
+    pages = F.when(e % 6 == 0, F.array().cast("array<bigint>")).otherwise(F.array(e % 5, e % 3))
+    answer = F.concat(F.lit("So it is ["), (e % 3).cast("string"), F.lit(", "), (e % 2 + 1).cast("string"), F.lit("]."))
+    texts = F.transform(pages, lambda p: F.concat(F.lit("page-"), p.cast("string"), F.lit(".")))
+    keywords = F.array(F.concat(F.lit("PAGE-"), (e % 3).cast("string"), F.lit(".")), F.lit("never"))
+    found = _t(spark, sf_dir, "events").select("event_id", E.citation_scores(answer, gold, keywords, pages, texts).alias("s"), E.page_hit(gold, pages).alias("page_hit"))
+    return found.select("event_id", "s.page", "s.keyword", F.round("s.weighted", 6).alias("weighted"), "s.relaxed", "page_hit")
+
+
+@query("""WITH b AS (SELECT event_id, event_id % 2 = 0 AS a, ['answer', 'refuse', 'state_not_supported'][event_id % 3 + 1] AS x, event_id % 5 < 2 AS r, event_id % 7 < 3 AS u FROM events)
+ SELECT event_id, CASE WHEN NOT a AND x = 'refuse' THEN r::INT::DOUBLE END AS refusal, CASE WHEN x = 'state_not_supported' THEN (r OR u)::INT::DOUBLE END AS unsupported_claim,
+ CASE WHEN NOT a AND x = 'refuse' THEN r::INT::DOUBLE WHEN NOT a AND x = 'state_not_supported' THEN (r OR u)::INT::DOUBLE END AS expected_behavior, a AND r AS false_refusal FROM b""")
+def behavior_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    expected = F.element_at(F.array(F.lit("answer"), F.lit("refuse"), F.lit("state_not_supported")), (e % 3 + 1).cast("int"))
+    return _t(spark, sf_dir, "events").select("event_id", E.behavior_scores(e % 2 == 0, expected, e % 5 < 2, e % 7 < 3).alias("s")).select("event_id", "s.*")
+
+
+@query()
+def answer_postprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = U.with_last_user_message(_t(spark, sf_dir, "conversations")).where("role = 'assistant'")
+    level = F.when(F.col("turn") % 2 == 0, "NO_SUPPORT").otherwise("STRONG_SUPPORT")
+    behavior = F.when(F.col("turn") % 3 == 0, "state_not_supported").otherwise("answer")
+    return turns.select("conv_id", "turn", A.postprocess(F.col("text"), F.coalesce("previous", F.lit("")), level, behavior).alias("answer"))
+
+
+def _hits(spark: SparkSession, sf_dir: str, top_k: int) -> DataFrame:
+    """The best chunks of each benchmark passage, which stands for the question."""
+    items, chunks = _t(spark, sf_dir, "benchmark"), chunk_documents(spark, sf_dir)
+    top = search.bm25(items, chunks, "item_id", "text", "chunk_id", "text", top_k)
+    asked = items.select("item_id", F.col("text").alias("question"))
+    rows = top.join(chunks.select("chunk_id", "file_name", "page", "section_title", "text", "parent_text"), "chunk_id").join(asked, "item_id")
+    zero = F.lit(0.0)
+    rows = rows.select(F.col("item_id").alias("q"), "question", F.col("chunk_id").alias("id"), "rank", "score", F.col("score").alias("keyword_score"), zero.alias("vector_score"), zero.alias("section_score"), "section_title", "text", "parent_text", "file_name", "page")
+    return files.written(rows, "hits")
+
+
+@query()
+def rerank_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rerank.rerank(_hits(spark, sf_dir, 20)).where("place <= 10").select("q", "id", "place", F.round("rerank_score", 6).alias("rerank_score"))
+
+
+@query()
+def evidence_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boost = profiles.evidence_boost(F.col("question"), F.col("section_title"), F.col("text"), PROFILE)
+    return _hits(spark, sf_dir, 20).select("q", "id", F.round(boost, 6).alias("boost"))
+
+
+@query()
+def parent_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.expand_parents(_hits(spark, sf_dir, 10)).select("q", "id", "text", F.col("matched_text").isNotNull().alias("expanded"))
+
+
+@query()
+def evidence_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.guard(_hits(spark, sf_dir, 5).select("q", "question", "section_title", "text")).select("q", "sufficient")
+
+
+@query()
+def section_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages against documents whose first words stand for a title."""
+    titled = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.array_join(F.slice(F.split(F.coalesce("text", F.lit("")), " "), 1, 6), " ").alias("section_title"), "text")
+    asked = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), F.col("text").alias("question"))
+    return evidence.section_search(asked, titled, 10, PROFILE).select("q", "id", "rank", F.round("score", 6).alias("score"))
+
+
+@query()
+def citation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of the first sentences of the third hit, which cite the first one, against the five best chunks."""
+    hits = _hits(spark, sf_dir, 5)
+    said = F.concat(F.substring("text", 1, 400), F.lit(" [1]."))
+    answers = hits.where("rank = 3").select("q", "question", said.alias("answer"))
+    return A.check_citations(answers, hits.select("q", "rank", "text"))
+
+
+@query()
+def retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), F.col("text").alias("question"))
+    found = retrieval.retrieve(asked, files.written(chunk_documents(spark, sf_dir), "chunks"), auto=True, profile=PROFILE)
+    return found.select("q", "place", "id", F.round("score", 6).alias("score"), F.col("matched_text").isNotNull().alias("expanded"))
+
+
+@query()
+def ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword search with and without reranking; a passage is its own keyword."""
+    hits = _hits(spark, sf_dir, 10)
+    plain = hits.select(F.lit("keyword").alias("variant"), "q", "rank", "page", "text")
+    anew = rerank.rerank(hits).select(F.lit("keyword, reranked").alias("variant"), "q", F.col("place").alias("rank"), "page", "text")
+    questions = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), F.lit(True).alias("is_answerable"), F.array().cast("array<int>").alias("source_pages"), F.array("text").alias("expected_keywords"))
+    return E.ablation(plain.unionByName(anew), questions).select("variant", "total_questions", "mean_keyword_hit_rate", "keyword_recall_at_5", "evidence_hit_at_5", "mrr")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
