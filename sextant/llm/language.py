@@ -18,13 +18,19 @@ from pyspark.sql import functions as F
 from .common import slices
 
 BITS = 16
-#: Rows of each language to learn from, about, and the most languages: they bound the model and what it costs.
-SAMPLE, LANGUAGES = 4000, 256
+#: Rows of each language to learn from, about, the most languages (of more, the most frequent ones are learned) and the
+#: most numbers of the model: they bound it and what it costs. Over 256 languages share fewer slots.
+SAMPLE, LANGUAGES, NUMBERS = 4000, 4096, 24
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def grams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def bits_for(languages: int) -> int:
+    """Slots, as a power of two, so that all languages have 2**NUMBERS of them at most."""
+    return min(BITS, NUMBERS - max(0, languages - 1).bit_length())
+
+
+def grams_of(texts: list[str], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Slots of the n-grams of all texts, and of each text where its own begin (and the end).
 
     Characters that aren't letters count as spaces within ASCII.
@@ -44,7 +50,7 @@ def grams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         three = np.zeros(n, np.uint32)
         three[:-2] = two[:-2] * np.uint32(0x01000193) + c[2:] + np.uint32(7)
         for k, h in enumerate((c, two, three)):
-            slots[:, k] = (h * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
+            slots[:, k] = (h * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)
     edge = ends[1:] - 1  # n-grams that reach into the next text count as the text's last space
     slots[edge] = slots[edge, :1]
     inner = edge - 1
@@ -54,34 +60,32 @@ def grams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def learn(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, log-probabilities (2**BITS x languages) and log-priors.
+    """Languages, log-probabilities (2**bits_for(languages) x languages) and log-priors.
 
     Of a language with more than SAMPLE rows those are taken whose hashed id is low; priors are from all rows.
     """
     rows = docs.where(train & docs[lang_col].isNotNull() & docs[text_col].isNotNull()).select(docs[lang_col].cast("string").alias("lang"), docs[text_col].cast("string").alias("text"), F.pmod(F.xxhash64(docs[id_col]), F.lit(1 << 20)).alias("draw"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()}
-    if len(sizes) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    langs = sorted(sizes)
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    langs, bits = sorted(sizes), bits_for(len(sizes))
     if not langs:
-        return [], np.zeros((1 << BITS, 0), np.float32), np.zeros(0)
+        return [], np.zeros((1 << bits, 0), np.float32), np.zeros(0)
     share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1 << 20, -(-SAMPLE * (1 << 20) // sizes[k])))])
     number = {k: i for i, k in enumerate(langs)}
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((len(langs), 1 << BITS), np.int64)
+        table = np.zeros((len(langs), 1 << bits), np.int64)
         for batch, values in slices(batches):
-            slots, ends = grams_of([v.decode("utf-8", "replace") for v in values])
+            slots, ends = grams_of([v.decode("utf-8", "replace") for v in values], bits)
             own = np.array([number[x] for x in batch.column(0).to_pylist()])
             who = np.repeat(own, np.diff(ends))
             for k in range(3):
-                table += np.bincount(who * (1 << BITS) + slots[:, k], minlength=table.size).reshape(table.shape)
+                table += np.bincount(who * (1 << bits) + slots[:, k], minlength=table.size).reshape(table.shape)
         lang, slot = np.nonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(slot.astype(np.int32)), pa.array(table[lang, slot])], ["lang", "slot", "n"])
 
-    drawn = rows.where(F.col("draw") < F.element_at(share, F.col("lang"))).select("lang", "text")
-    found = drawn.mapInArrow(count, "lang int, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()  # languages * 2**BITS rows at most
-    table = np.zeros((1 << BITS, len(langs)))
+    drawn = rows.where(F.col("lang").isin(langs)).where(F.col("draw") < F.element_at(share, F.col("lang"))).select("lang", "text")
+    found = drawn.mapInArrow(count, "lang int, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()  # 2**NUMBERS rows at most
+    table = np.zeros((1 << bits, len(langs)))
     table[found["slot"].to_numpy(), found["lang"].to_numpy()] = found["n"].to_numpy()
     table += 0.5
     prior = np.log(np.array([sizes[k] for k in langs], float) / sum(sizes.values()))
@@ -106,7 +110,7 @@ def predict(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: st
             pred, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
             at = np.flatnonzero(known)
             if len(at):
-                slots, ends = grams_of([texts[k] for k in at])
+                slots, ends = grams_of([texts[k] for k in at], table.shape[0].bit_length() - 1)
                 total = np.tile(prior, (len(at), 1))
                 for lo in range(0, len(slots), 1 << 19):  # a long text in several parts
                     hi = min(len(slots), lo + (1 << 19))

@@ -241,6 +241,10 @@ def patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int =
     return found
 
 
+#: Ranges of a plan that are broadcast at most; more are joined.
+BROADCAST_ROWS = 200_000
+
+
 def numbered(rows: DataFrame, length: str = "length", by: tuple[str, ...] = (), per_bucket: int = 200_000) -> DataFrame:
     """rows with rank: their number, from 0, among the rows of their length, in buckets of bounded size."""
     spark = rows.sparkSession
@@ -267,7 +271,14 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str
     plan = Plan(counts, capacity)
     rows = spark.createDataFrame(plan.rows, "length long, low long, high long, sequence long, at long, per long")
     ranked = numbered(own, "length", ("id", "piece", "ids_crc32"))
-    placed = ranked.join(F.broadcast(rows), (ranked.length == rows.length) & (ranked["rank"] >= rows.low) & (ranked["rank"] < rows.high))
+    here = (ranked.length == rows.length) & (ranked["rank"] >= rows.low) & (ranked["rank"] < rows.high)
+    if len(plan.rows) <= BROADCAST_ROWS:
+        placed = ranked.join(F.broadcast(rows), here)
+    else:  # ranges by the stretches of ranks that they touch
+        cut = lambda x: F.shiftright(x, 16)
+        rows = rows.where("high > low").withColumn("stretch", F.explode(F.sequence(cut(F.col("low")), cut(F.col("high") - 1))))
+        here = (ranked.length == rows.length) & (cut(ranked["rank"]) == rows.stretch) & (ranked["rank"] >= rows.low) & (ranked["rank"] < rows.high)
+        placed = ranked.join(rows, here)
     inside = F.col("rank") - F.col("low")
     return placed.select(
         F.col("id").alias(id_col),

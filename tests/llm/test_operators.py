@@ -394,6 +394,20 @@ def test_op8_held_out_accuracy(rows, docs):
     assert held and sum(r["lang_pred"] == docs[r["doc_id"]]["lang"] for r in held) >= 0.95 * len(held)
 
 
+def test_op8_many_languages(spark):
+    """Each of 300 languages has a word of its own; more than LANGUAGES are learned by frequency."""
+    code = lambda k: "".join(chr(97 + k // 26**j % 26) for j in range(3))
+    rows = [(k, " ".join([code(k) + "x" + code(k)[::-1]] * 12), f"l{k}") for k in range(300) for _ in range(2)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r["lang_pred"] for r in language.predict(frame, frame["doc_id"] >= 0).collect()}
+    assert language.bits_for(300) == 15 and sum(found[k] == f"l{k}" for k in range(300)) >= 295
+    before, language.LANGUAGES = language.LANGUAGES, 10
+    try:
+        assert {r["lang_pred"] for r in language.predict(frame, frame["doc_id"] >= 0).collect()} <= {f"l{k}" for k in range(300)}
+    finally:
+        language.LANGUAGES = before
+
+
 def test_op9_against_brute_force(rows, docs):
     for r in rows("op9_quality"):
         t = docs[r["doc_id"]]["text"] or ""
@@ -510,6 +524,18 @@ def test_op10_plan_of_many_lengths(seed):
     assert len(used) <= 1.03 * math.ceil(lengths.sum() / 4096)
 
 
+def test_op10_places_by_broadcast_and_by_join(spark, odd):
+    path = vocabulary("word_bpe_49k.json")
+    before = packing.BROADCAST_ROWS
+    key = lambda r: str((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"], r["sequence_id"], r["offset"]))
+    first = sorted(map(key, packing.pack(odd, path).collect()))
+    packing.BROADCAST_ROWS = 0
+    try:
+        assert sorted(map(key, packing.pack(odd, path).collect())) == first
+    finally:
+        packing.BROADCAST_ROWS = before
+
+
 def test_odd_and_empty_tables(spark, odd):
     from pyspark.sql import functions as F
 
