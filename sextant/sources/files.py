@@ -37,7 +37,7 @@ def _pages(name: str, content: bytes) -> list[tuple[str, int | None, int | None]
     if suffix == ".docx":
         with zipfile.ZipFile(io.BytesIO(content)) as z:
             tree = ElementTree.fromstring(z.read("word/document.xml"))
-        texts = ("".join(t.text or "" for t in p.iter(f"{W}t")).strip() for p in tree.iter(f"{W}p"))
+        texts = ("".join(t.text or "" for t in p.iter(f"{W}t")).strip() for p in tree.findall(f"{W}body/{W}p"))  # not those of tables and text boxes
         return [(t, None, k) for k, t in enumerate(texts, 1) if t]
     if suffix == ".pdf":
         try:

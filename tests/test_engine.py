@@ -49,6 +49,13 @@ def test_clean_and_headings():
     assert chunking.clean_text(None) == ""
 
 
+def test_overlap_and_numbers():
+    assert chunking.split_text("aaa bbb ccc\n\nddd", 12, 8) == ["aaa bbb ccc", "ccc\n\nddd"]  # the tail starts with a space: its first word goes
+    assert chunking.split_text("aaa bbbb cc\n\nddd", 12, 7) == ["aaa bbbb cc", "bbbb cc\n\nddd"]
+    assert [t for t, _ in chunking.sections("2\nModel Design\nBody.")] == ["2 Model Design"]
+    assert [t for t, _ in chunking.sections("2\n\nModel and its Design\nBody.")] == ["Document"]
+
+
 def test_chunks_cover_the_text():
     text = "Intro words here.\n\nINTRODUCTION\n\n" + " ".join(f"Sentence number {i} ends." for i in range(200))
     found = chunking.chunk_list(text)
