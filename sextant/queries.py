@@ -183,7 +183,8 @@ def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best documents of each benchmark passage, which stands for the question."""
     items, docs = _t(spark, sf_dir, "benchmark"), _docs(spark, sf_dir)
     top = search.bm25(items, docs, "item_id", "text", "doc_id", "text", 5)
-    rows = top.join(docs.select("doc_id", "text"), "doc_id").join(items.select("item_id", F.col("text").alias("question")), "item_id")
+    top = files.written(top, "top")
+    rows = search.only(docs.select("doc_id", "text"), top, "doc_id").join(top, "doc_id").join(items.select("item_id", F.col("text").alias("question")), "item_id")
     return rows.select(F.col("item_id").alias("q"), F.col("doc_id").alias("id"), "question", "text", "score", F.lit(None).cast("string").alias("section_title"))
 
 
@@ -281,12 +282,16 @@ def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
-    return docs.select(chunking.clean(F.col("text")).alias("text"), F.col("doc_id").cast("string").alias("file_id"), F.concat(F.lit("doc_"), F.col("doc_id")).alias("file_name"), F.lit(1).alias("page"), F.lit(None).cast("int").alias("paragraph_index"))
+    return docs.select("text", F.col("doc_id").cast("string").alias("file_id"), F.concat(F.lit("doc_"), F.col("doc_id")).alias("file_name"), F.lit(1).alias("page"), F.lit(None).cast("int").alias("paragraph_index"))
 
 
 @query()
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.chunk(_document_rows(spark, sf_dir))
+    return chunking.chunk(_document_rows(spark, sf_dir), raw=True)
+
+
+def _searched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunk(_document_rows(spark, sf_dir), raw=True, parents=False)
 
 
 @query("""WITH m AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS b FROM conversations WHERE role IN ('user', 'assistant') AND trim(coalesce(text, '')) <> '')
@@ -297,8 +302,10 @@ def chat_history_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items, chunks = _t(spark, sf_dir, "benchmark"), chunk_documents(spark, sf_dir)
-    top = search.bm25(items, chunks, "item_id", "text", "chunk_id", "text", 10).join(chunks, "chunk_id")
+    items, chunks = _t(spark, sf_dir, "benchmark"), _searched(spark, sf_dir)
+    top = search.bm25(items, chunks, "item_id", "text", "chunk_id", "text", 10)
+    top = files.written(top, "top")
+    top = search.only(chunks, top, "chunk_id").join(top, "chunk_id")
     return A.context(top.select(F.col("item_id").alias("q"), "rank", "file_name", "page", "chunk_id", "text"))
 
 
@@ -383,7 +390,7 @@ def cache_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def answer_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), F.col("text").alias("question"))
-    chunks = chunk_documents(spark, sf_dir).select("chunk_id", "file_name", "page", "text")
+    chunks = _searched(spark, sf_dir).select("chunk_id", "file_name", "page", "text")
     return answering.answer(asked, chunks)
 
 
@@ -460,9 +467,10 @@ def answer_postprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _hits(spark: SparkSession, sf_dir: str, top_k: int) -> DataFrame:
     """The best chunks of each benchmark passage, which stands for the question."""
     items, chunks = _t(spark, sf_dir, "benchmark"), chunk_documents(spark, sf_dir)
-    top = search.bm25(items, chunks, "item_id", "text", "chunk_id", "text", top_k)
+    top = search.bm25(items, _searched(spark, sf_dir), "item_id", "text", "chunk_id", "text", top_k)
     asked = items.select("item_id", F.col("text").alias("question"))
-    rows = top.join(chunks.select("chunk_id", "file_name", "page", "section_title", "text", "parent_text"), "chunk_id").join(asked, "item_id")
+    top = files.written(top, "top")
+    rows = search.only(chunks.select("chunk_id", "file_name", "page", "section_title", "text", "parent_text"), top, "chunk_id").join(top, "chunk_id").join(asked, "item_id")
     zero = F.lit(0.0)
     rows = rows.select(F.col("item_id").alias("q"), "question", F.col("chunk_id").alias("id"), "rank", "score", F.col("score").alias("keyword_score"), zero.alias("vector_score"), zero.alias("section_score"), "section_title", "text", "parent_text", "file_name", "page")
     return files.written(rows, "hits")
@@ -509,7 +517,7 @@ def citation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), F.col("text").alias("question"))
-    found = retrieval.retrieve(asked, files.written(chunk_documents(spark, sf_dir), "chunks"), auto=True, profile=PROFILE)
+    found = retrieval.retrieve(asked, chunk_documents(spark, sf_dir), auto=True, profile=PROFILE)
     return found.select("q", "place", "id", F.round("score", 6).alias("score"), F.col("matched_text").isNotNull().alias("expanded"))
 
 
