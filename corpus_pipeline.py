@@ -27,8 +27,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8), the one with the smallest id."""
-    return similar.keep_one(docs)
+    """One document of each group of near copies, the one with the smallest id: operator 3's links (three bits), and five-word shingles at similarity 0.8."""
+    return similar.keep_one(docs, max_distance=3)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

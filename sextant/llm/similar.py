@@ -24,11 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Rolling, free_name, materialize, mix64, run_bounds, slices, trim, word_hashes, words_of
-from .simhash import connect, forest
+from .simhash import connect, fingerprints_of, forest, links
 
 SLOTS, SPARSE, CHECK = 1024, 5, 256
 #: Probability that a pair at the limit shares a window; standard deviations over its mean that the first CHECK bits may differ in.
 RECALL, NEAR = 0.9999, 4
+#: Words of a shingle of operator 3.
+RING = 3
 #: Shingles of a text from which bits alone may settle a pair, and standard deviations from the limit that it takes.
 LONG, MARGIN = 128, 5
 #: Bytes of fingerprints and shingle sets of a group that is compared as a whole, and of a chunk of it.
@@ -118,8 +120,8 @@ def distances(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     return on
 
 
-def stars(key: np.ndarray, sig: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs within `most` bits inside runs of equal sorted keys: each row with the first of its run that is near it."""
+def stars(key: np.ndarray, sig: np.ndarray, most: int, root: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs within `most` bits inside runs of equal sorted keys: each row with the first of its run that is near it, unless both have one root."""
     a, b, rest = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.arange(len(key))
     while len(rest) > 1:
         new = run_bounds(key[rest])
@@ -127,8 +129,9 @@ def stars(key: np.ndarray, sig: np.ndarray, most: int) -> tuple[np.ndarray, np.n
         other = rest != hub
         hub, rest = hub[other], rest[other]
         on = distances(sig[hub], sig[rest], most)
-        a.append(hub[on])
-        b.append(rest[on])
+        new = on if root is None else on[root[hub[on]] != root[rest[on]]]
+        a.append(hub[new])
+        b.append(rest[new])
         rest = np.delete(rest, on)
     return np.concatenate(a), np.concatenate(b)
 
@@ -156,7 +159,7 @@ def near_pairs(sig: np.ndarray, after: np.ndarray, most: int) -> Iterator[tuple[
 def bucket_pairs(key: np.ndarray, root: np.ndarray, sig: np.ndarray, most: int, dense: list[tuple[int, int]] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of different roots within `most` bits inside runs of equal sorted keys.
 
-    dense: takes begin and end of the runs over 64 with more pairs than rows, whose pairs are left out.
+    dense: takes begin and end of the runs with more pairs than rows, whose pairs are left out, so that pairs are never more than rows.
     """
     edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
     size = np.diff(edge)
@@ -170,6 +173,12 @@ def bucket_pairs(key: np.ndarray, root: np.ndarray, sig: np.ndarray, most: int,
         lag += 1
         i = i[i + lag < len(key)]
         i = i[key[i + lag] == key[i]]
+    if dense is not None:
+        x, y = np.concatenate(a), np.concatenate(b)
+        run = np.searchsorted(edge, x, side="right") - 1
+        over = np.bincount(run, minlength=len(size)) > size
+        a, b = [x[~over[run]]], [y[~over[run]]]
+        dense += [(int(edge[r]), int(edge[r + 1])) for r in np.flatnonzero(over)]
     for r in np.flatnonzero(size > 64):
         order, after = by_root(root[edge[r] : edge[r + 1]])
         order += edge[r]
@@ -260,7 +269,7 @@ def candidates(classes: DataFrame, most: int, width: int, count: int, first: boo
         def found(to: int) -> Iterator[pa.RecordBatch]:
             if to > 1:
                 dense: list[tuple[int, int]] = []
-                a, b = stars(key[:to], sig[:to], most) if first else bucket_pairs(key[:to], root[:to], sig[:to], most, dense)
+                a, b = stars(key[:to], sig[:to], most, root[:to]) if first else bucket_pairs(key[:to], root[:to], sig[:to], most, dense)
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.nulls(len(a), pa.int64())], ["a", "b", "key"])
                 for x, y in dense:
@@ -390,10 +399,22 @@ def alike(unsure: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return unsure.join(left, "a").join(right, "b").where(possible).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ring_links(fps: DataFrame, max_distance: int) -> DataFrame:
+    """Columns a, b: operator 3's links (column fp, at most max_distance bits apart) between the classes (column node) that have its fingerprints."""
+    own = materialize(fps.select("node", "fp").distinct(), "own")
+    first = materialize(own.groupBy("fp").agg(F.min("node").alias("rep")), "rep")
+    same = own.join(first, "fp").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    found = links(first.select("fp"), max_distance)
+    left, right = first.select(F.col("fp").alias("a"), F.col("rep").alias("x")), first.select(F.col("fp").alias("b"), F.col("rep").alias("y"))
+    across = found.join(left, "a").join(right, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return materialize(same.unionByName(across).where("a <> b"), "ring")
+
+
+def groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", max_distance: int | None = None) -> DataFrame:
     """A row per row of docs: id_col and component_id, the smallest id reachable over near copies, itself included.
 
-    Equal fingerprints are one class throughout, so copies are never paired. Null, empty and wordless texts are
+    With max_distance texts that operator 3 links (three-word shingles, so many bits of 64) are near copies as well: its
+    fingerprints, pigeonring filter and links come first, and long fingerprints pair what these leave apart. Equal fingerprints are one class throughout, so copies are never paired. Null, empty and wordless texts are
     copies of each other; repeated rows give repeated rows; a null id is never a component_id unless no member
     has an id; an empty table gives an empty one; other columns don't matter.
     """
@@ -406,15 +427,16 @@ def groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: s
             text, h = shingle_sets(values, shingle)
             bits = fingerprint_bits(text, h, len(values), rounds)
             n = np.bincount(text, minlength=len(values)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in bits], pa.binary()), pa.array(n)], ["id", "bits", "n"])
+            fp = np.zeros(len(values), np.uint64) if max_distance is None else fingerprints_of(values, RING)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in bits], pa.binary()), pa.array(n), pa.array(fp.view(np.int64))], ["id", "bits", "n", "fp"])
 
-    made = src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, bits binary, n long").select("id", F.xxhash64("bits").alias("node"), "bits", "n")
+    made = src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, bits binary, n long, fp long").select("id", F.xxhash64("bits").alias("node"), "bits", "n", "fp")
     fps = materialize(made, "fingerprints")
     classes = materialize(fps.groupBy("node").agg(F.min("id").alias("low"), F.min("bits").alias("bits"), F.min("n").alias("n")), "classes")
     check = limit(similarity, CHECK, NEAR)
     sure, most = (limit(similarity, rounds * SLOTS, k * MARGIN) for k in (-1, 1))
 
-    def links(of: DataFrame, first: bool) -> DataFrame:
+    def long_links(of: DataFrame, first: bool) -> DataFrame:
         found = materialize(candidates(of, check, width, count, first), "pairs")
         near = materialize(sorted_out(found.where("key is null").select("a", "b"), classes, sure, most), "near")
         unsure = near.where(~F.col("sure")).select("a", "b")
@@ -425,10 +447,16 @@ def groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: s
             known = known.unionByName(dense_links(found.where("key is not null"), classes, src, check, sure, most, similarity, shingle, rounds))
         return materialize(known, "found")
 
+    def rooted(known: DataFrame | None) -> DataFrame:
+        if known is None:
+            return classes.select("node", F.col("node").alias("root"), "bits")
+        return classes.select("node", "bits").join(connect(known), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "bits")
+
     # The stars of a large group are few pairs and make one component of most of it; then only what they left apart is paired.
-    some = links(classes.select("node", F.col("node").alias("root"), "bits"), True)
-    known = connect(some)
-    rest = links(classes.select("node", "bits").join(known, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "bits"), False)
+    ring = None if max_distance is None else ring_links(fps, max_distance)
+    some = long_links(rooted(ring), True)
+    some = some if ring is None else some.unionByName(ring)
+    rest = long_links(rooted(some), False)
     roots = materialize(connect(some.unionByName(rest)), "roots")
     member = roots.join(classes.select("node", "low"), "node")
     moved = member.join(member.groupBy("root").agg(F.min("low").alias("best")), "root").select("node", "best")
@@ -436,9 +464,9 @@ def groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: s
     return fps.select("id", "node").join(whole, "node").select(F.col("id").alias(id_col), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", max_distance: int | None = None) -> DataFrame:
     """docs without the rows that aren't the first of their group; of rows with the same id all stay or go."""
     mark = free_name(docs, "component_id")
-    found = groups(docs, shingle, similarity, id_col, text_col)
+    found = groups(docs, shingle, similarity, id_col, text_col, max_distance)
     gone = materialize(found.where(~F.col("component_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias(mark)).distinct(), "gone")  # its size decides how they meet
     return docs.join(gone, docs[id_col] == gone[mark], "left_anti")
