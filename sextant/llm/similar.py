@@ -2,10 +2,10 @@
 
 Two texts whose sets of five-word shingles have a Jaccard similarity of 0.8 differ in 15 % of the bits of their
 fingerprints: about 10 of 64, give or take 3, and no segment of a useful width is sure to be equal. So the
-fingerprint is long. Its first CHECK bits travel with every candidate, the next are cut into windows, and equal
-windows make candidates; there are so many windows that a pair at the wanted similarity shares one with
-probability RECALL. Windows widen with the logarithm of the number of rows, so buckets stay small. Sums of
-differences over a chain of 64-bit segments prune the candidates of a bucket, at NEAR standard deviations over what
+fingerprint is long. It is cut into windows, and equal windows make candidates; there are so many windows that a
+pair at the wanted similarity shares one with probability RECALL. The first CHECK bits travel with every row of a
+window. They hold the first windows whole, so a pair that shares one of these is not made again in a later window.
+Windows widen with the logarithm of the number of rows, so buckets stay small. Sums of differences over a chain of 64-bit segments prune the candidates of a bucket, at NEAR standard deviations over what
 a pair at the wanted similarity differs in. All bits then sort the candidates: those far over the wanted similarity are links, those far below are none, and the sets of shingles
 themselves decide the pairs between, and all pairs of short texts, whose bits are less independent.
 
@@ -27,6 +27,10 @@ from .common import Rolling, free_name, materialize, mix64, run_bounds, slices,
 from .simhash import connect, fingerprints_of, forest, links
 
 SLOTS, SPARSE, CHECK = 1024, 5, 256
+#: Windows of the first two passes: enough to connect most of a large group by stars, and to gather the rest of it in dense windows.
+FIRST = 16
+#: Classes of which the ids are broadcast at most; beyond, a join by id.
+BROADCAST_ROWS = 200_000
 #: Probability that a pair at the limit shares a window; standard deviations over its mean that the first CHECK bits may differ in.
 RECALL, NEAR = 0.9999, 4
 #: Words of a shingle of operator 3.
@@ -156,20 +160,42 @@ def near_pairs(sig: np.ndarray, after: np.ndarray, most: int) -> Iterator[tuple[
         yield i + at, j + begin
 
 
-def bucket_pairs(key: np.ndarray, root: np.ndarray, sig: np.ndarray, most: int, dense: list[tuple[int, int]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+def met_before(x: np.ndarray, y: np.ndarray, window: np.ndarray, width: int) -> np.ndarray:
+    """Which rows of x and y (CHECK bits as unsigned longs) share a window of this width before the given one, of those that CHECK bits hold whole."""
+    lanes, out = CHECK // width, np.zeros(len(x), bool)
+    for at in range(0, len(x), 1 << 14):
+        to = at + (1 << 14)
+        differ = np.unpackbits((x[at:to] ^ y[at:to]).view(np.uint8), axis=1)[:, : lanes * width].reshape(-1, lanes, width).any(axis=2)
+        out[at:to] = (~differ & (np.arange(lanes) < window[at:to, None])).any(axis=1)
+    return out
+
+
+def bucket_pairs(key: np.ndarray, root: np.ndarray, sig: np.ndarray, most: int, dense: list[tuple[int, int]] | None = None, width: int | None = None, met: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of different roots within `most` bits inside runs of equal sorted keys.
 
-    dense: takes begin and end of the runs with more pairs than rows, whose pairs are left out, so that pairs are never more than rows.
+    width: of windows, whose numbers are the keys' upper 32 bits; pairs that an earlier one of the first windows has are
+    left to that. met: numbers of groups that have met as a whole, whose pairs are left out as well. dense: takes begin and end of the runs with more pairs than rows, whose pairs are left out, so that pairs are never more than rows.
     """
     edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
     size = np.diff(edge)
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def new(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if met is not None:
+            apart = met[x] != met[y]
+            x, y = x[apart], y[apart]
+        if width is not None:
+            first = ~met_before(sig[x], sig[y], key[x] >> 32, width)
+            x, y = x[first], y[first]
+        return x, y
+
     i, lag = np.flatnonzero(np.repeat(size <= 64, size)[:-1] & (key[1:] == key[:-1])), 1
     while len(i):
         apart = i[root[i] != root[i + lag]]
         on = apart[distances(sig[apart], sig[apart + lag], most)]
-        a.append(on)
-        b.append(on + lag)
+        x, y = new(on, on + lag)
+        a.append(x)
+        b.append(y)
         lag += 1
         i = i[i + lag < len(key)]
         i = i[key[i + lag] == key[i]]
@@ -180,12 +206,17 @@ def bucket_pairs(key: np.ndarray, root: np.ndarray, sig: np.ndarray, most: int,
         a, b = [x[~over[run]]], [y[~over[run]]]
         dense += [(int(edge[r]), int(edge[r + 1])) for r in np.flatnonzero(over)]
     for r in np.flatnonzero(size > 64):
-        order, after = by_root(root[edge[r] : edge[r + 1]])
+        sides = [x[edge[r] : edge[r + 1]] for x in (root, met) if x is not None]
+        # of the larger group no pairs are tried; those of the other kind are left out after
+        order, after = by_root(max(sides, key=lambda x: np.unique(x, return_counts=True)[1].max()))
         order += edge[r]
         held, n = len(a), 0
-        for x, y in near_pairs(sig[order], after, most):
-            a.append(order[x])
-            b.append(order[y])
+        for i, j in near_pairs(sig[order], after, most):
+            x, y = order[i], order[j]
+            apart = root[x] != root[y]
+            x, y = new(x[apart], y[apart])
+            a.append(x)
+            b.append(y)
             n += len(x)
             if dense is not None and n > size[r]:
                 del a[held:], b[held:]
@@ -235,41 +266,47 @@ def joining_links(root: np.ndarray, side: np.ndarray, bits: np.ndarray, long: np
                         yield int(order[x[k]]), int(order[y[k]])
 
 
-def candidates(classes: DataFrame, most: int, width: int, count: int, first: bool) -> DataFrame:
-    """Columns a, b, key: pairs of classes (node long, root long, bits binary) that share a window and differ in at most `most` of the first CHECK bits.
+def candidates(classes: DataFrame, most: int, width: int, begin: int, end: int, first: bool) -> DataFrame:
+    """Columns a, b, key: pairs of classes (node long, root long, met long, bits binary) that share a window from begin to end and differ in at most `most` of the first CHECK bits.
 
-    first: the stars of each window; otherwise all pairs of different roots, but of a dense window its rows: node,
+    first: the stars of each window, around hubs that differ from window to window; otherwise, without pairs of one met and each pair
+    once where the CHECK bits show it, all pairs of different roots, but of a dense window its rows: node,
     root and the window's key, which is null for pairs.
     """
+    used = end - begin
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
                 n = batch.num_rows
-                bits = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(n, -1)
-                flat = np.unpackbits(bits, axis=1)[:, CHECK : CHECK + width * count].reshape(n, count, width)
+                bits = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(n, -1)
+                flat = np.unpackbits(bits, axis=1)[:, width * begin : width * end].reshape(n, used, width)
                 weight = 1 << np.arange(width, dtype=np.int64)
-                key = flat @ weight + (np.arange(count, dtype=np.int64) << 32)
-                sig = np.repeat(np.ascontiguousarray(bits[:, : CHECK // 8]), count, axis=0).tobytes()
+                key = flat @ weight + (np.arange(begin, end, dtype=np.int64) << 32)
+                sig = np.repeat(np.ascontiguousarray(bits[:, : CHECK // 8]), used, axis=0).tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(key.reshape(-1)),
-                        *(pa.array(np.repeat(batch.column(k).to_numpy(zero_copy_only=False), count)) for k in (0, 1)),
-                        pa.FixedSizeBinaryArray.from_buffers(pa.binary(CHECK // 8), n * count, [None, pa.py_buffer(sig)]).cast(pa.binary()),
+                        *(pa.array(np.repeat(batch.column(k).to_numpy(zero_copy_only=False), used)) for k in range(3)),
+                        pa.FixedSizeBinaryArray.from_buffers(pa.binary(CHECK // 8), n * used, [None, pa.py_buffer(sig)]).cast(pa.binary()),
                     ],
-                    ["key", "node", "root", "sig"],
+                    ["key", "node", "root", "met", "sig"],
                 )
 
-    rows = classes.select("node", "root", "bits").mapInArrow(cut, "key long, node long, root long, sig binary").repartition("key").sortWithinPartitions("key", "node")
+    rows = classes.select("node", "root", "met", "bits").mapInArrow(cut, "key long, node long, root long, met long, sig binary").repartition("key").sortWithinPartitions("key", "node")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, node, root, sig = *(np.zeros(0, np.int64) for _ in range(3)), np.zeros((0, CHECK // 64), np.uint64)
+        key, node, root, met, sig = *(np.zeros(0, np.int64) for _ in range(4)), np.zeros((0, CHECK // 64), np.uint64)
 
         def found(to: int) -> Iterator[pa.RecordBatch]:
             if to > 1:
                 dense: list[tuple[int, int]] = []
-                a, b = stars(key[:to], sig[:to], most, root[:to]) if first else bucket_pairs(key[:to], root[:to], sig[:to], most, dense)
+                if first:
+                    order = np.lexsort((mix64((node[:to] ^ key[:to]).view(np.uint64)), key[:to]))
+                    a, b = (order[x] for x in stars(key[order], sig[order], most, root[order]))
+                else:
+                    a, b = bucket_pairs(key[:to], root[:to], sig[:to], most, dense, width, met[:to])
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.nulls(len(a), pa.int64())], ["a", "b", "key"])
                 for x, y in dense:
@@ -277,33 +314,36 @@ def candidates(classes: DataFrame, most: int, width: int, count: int, first: boo
 
         for batch in batches:
             if batch.num_rows:
-                key, node, root = (np.concatenate((x, batch.column(k).to_numpy())) for k, x in enumerate((key, node, root)))
-                sig = np.concatenate((sig, np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(batch.num_rows, -1)))
+                key, node, root, met = (np.concatenate((x, batch.column(k).to_numpy())) for k, x in enumerate((key, node, root, met)))
+                sig = np.concatenate((sig, np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(batch.num_rows, -1)))
                 at = int(np.searchsorted(key, key[-1]))  # the last run may go on
                 yield from found(at)
-                key, node, root, sig = key[at:], node[at:], root[at:], sig[at:]
+                key, node, root, met, sig = key[at:], node[at:], root[at:], met[at:], sig[at:]
         yield from found(len(key))
         trim()
 
     return rows.mapInArrow(run, "a long, b long, key long").distinct()
 
 
-def dense_links(dense: DataFrame, classes: DataFrame, src: DataFrame, check: int, sure: int, most: int, similarity: float, shingle: int, rounds: int) -> DataFrame:
+def dense_links(dense: DataFrame, classes: DataFrame, src: DataFrame, check: int, sure: int, most: int, similarity: float, shingle: int, rounds: int, whole_groups: list[DataFrame] | None = None) -> DataFrame:
     """Columns a, b: links that join the rows of dense windows (a: node, b: root, key) as all links of their pairs would.
 
     Dense windows repeat the same rows, so rows that windows connect are one group, which meets once, with fingerprints
     and shingle sets. A group over GROUP bytes is left to its windows, each a group of its own. Groups are cut into chunks of TILE
     bytes, and every two chunks meet in a tile, so no task holds more than two. A tile gives fewer links than it has rows.
+    whole_groups: takes node and met, the group, of the rows of which all pairs meet.
     """
     dense = materialize(dense, "dense")
     first = dense.groupBy("key").agg(F.min("a").alias("rep"))
     cluster = connect(dense.join(first, "key").select("a", F.col("rep").alias("b")).where("a <> b").distinct()).withColumnRenamed("root", "cluster")
     nodes = dense.select(F.col("a").alias("node"), F.col("b").alias("root")).distinct()
     sets = materialize(sets_of(nodes.select("node"), src, classes, shingle, rounds), "sets")
-    rows = nodes.join(cluster, "node").join(classes.select("node", "bits", (F.col("n") >= LONG).alias("long")), "node").join(sets, "node")
+    rows = nodes.join(cluster, "node").join(only(classes, nodes).select("node", "bits", (F.col("n") >= LONG).alias("long")), "node").join(sets, "node")
     rows = materialize(rows.withColumn("size", F.length("bits") + F.length("hashes")), "dense-rows")
     small = rows.groupBy("cluster").agg(F.sum("size").alias("whole")).select("cluster", (F.col("whole") <= GROUP).alias("small"))
     whole = rows.join(small, "cluster")
+    if whole_groups is not None:
+        whole_groups.append(materialize(whole.where("small").select("node", F.col("cluster").alias("met")).distinct(), "met"))
     by_cluster = whole.where("small").select(F.lit(0).alias("kind"), F.col("cluster").alias("group"), "node", "root", "bits", "long", "hashes", "size")
     by_window = whole.where("not small").join(dense.select(F.col("a").alias("node"), "key"), "node").select(F.lit(1).alias("kind"), F.col("key").alias("group"), "node", "root", "bits", "long", "hashes", "size")
     every = by_cluster.unionByName(by_window)
@@ -347,10 +387,22 @@ def dense_links(dense: DataFrame, classes: DataFrame, src: DataFrame, check: int
     return tiles.mapInArrow(run, "a long, b long")
 
 
+def few(rows: DataFrame) -> bool:
+    """Whether a written table is small enough to go to every executor."""
+    return rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
+def only(classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The classes in column node of nodes, as a table of their own; fingerprints stay where they are unless nodes are many."""
+    ends = materialize(nodes.select("node").distinct(), "ends")
+    return materialize(classes.join(F.broadcast(ends) if few(ends) else ends, "node", "left_semi"), "only")
+
+
 def sorted_out(pairs: DataFrame, classes: DataFrame, sure: int, most: int) -> DataFrame:
     """Columns a, b, sure: the pairs whose whole fingerprints differ in at most `most` bits; sure: two long texts, `sure` bits."""
-    left = classes.select(F.col("node").alias("a"), F.col("bits").alias("x"), F.col("n").alias("m"))
-    right = classes.select(F.col("node").alias("b"), F.col("bits").alias("y"), "n")
+    own = only(classes, pairs.select(F.explode(F.array("a", "b")).alias("node")))
+    left = own.select(F.col("node").alias("a"), F.col("bits").alias("x"), F.col("n").alias("m"))
+    right = own.select(F.col("node").alias("b"), F.col("bits").alias("y"), "n")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -368,7 +420,7 @@ def sorted_out(pairs: DataFrame, classes: DataFrame, sure: int, most: int) -> Da
 def sets_of(nodes: DataFrame, src: DataFrame, classes: DataFrame, shingle: int, rounds: int) -> DataFrame:
     """Columns node, hashes: sorted shingle hashes, 8 bytes each, of the classes in column node."""
     # as a table of its own its size is known: if it is small it goes to the texts, and they stay where they are
-    first = materialize(classes.join(nodes.distinct(), "node", "left_semi").select("low"), "low")
+    first = materialize(only(classes, nodes).select("low"), "low")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, values in slices(batches, limit=1 << 20):
@@ -379,6 +431,7 @@ def sets_of(nodes: DataFrame, src: DataFrame, classes: DataFrame, shingle: int,
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in bits], pa.binary()), pa.array(hashes, pa.binary())], ["bits", "hashes"])
 
     # Rows may share an id, so the class of a text is found from its bits again.
+    first = F.broadcast(first) if few(first) else first
     texts = src.join(first, src["id"].eqNullSafe(first["low"]), "left_semi").select("text")
     return texts.mapInArrow(run, "bits binary, hashes binary").groupBy(F.xxhash64("bits").alias("node")).agg(F.min("hashes").alias("hashes"))
 
@@ -420,7 +473,7 @@ def groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: s
     """
     src = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     width, count = windows(similarity, docs.count())
-    rounds = -(-(CHECK + width * count) // SLOTS)
+    rounds = -(-max(CHECK, width * count) // SLOTS)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, values in slices(batches, limit=1 << 20):
@@ -436,28 +489,35 @@ def groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: s
     check = limit(similarity, CHECK, NEAR)
     sure, most = (limit(similarity, rounds * SLOTS, k * MARGIN) for k in (-1, 1))
 
-    def long_links(of: DataFrame, first: bool) -> DataFrame:
-        found = materialize(candidates(of, check, width, count, first), "pairs")
+    def long_links(of: DataFrame, begin: int, end: int, first: bool, met: list[DataFrame] | None = None) -> DataFrame:
+        found = materialize(candidates(of, check, width, begin, end, first), "pairs")
         near = materialize(sorted_out(found.where("key is null").select("a", "b"), classes, sure, most), "near")
         unsure = near.where(~F.col("sure")).select("a", "b")
         ends = unsure.select(F.explode(F.array("a", "b")).alias("node"))
         sets = materialize(sets_of(ends, src, classes, shingle, rounds), "sets")
         known = near.where("sure").select("a", "b").unionByName(alike(unsure, sets, similarity))
         if not first:
-            known = known.unionByName(dense_links(found.where("key is not null"), classes, src, check, sure, most, similarity, shingle, rounds))
+            known = known.unionByName(dense_links(found.where("key is not null"), classes, src, check, sure, most, similarity, shingle, rounds, met))
         return materialize(known, "found")
 
-    def rooted(known: DataFrame | None) -> DataFrame:
-        if known is None:
-            return classes.select("node", F.col("node").alias("root"), "bits")
-        return classes.select("node", "bits").join(connect(known), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "bits")
+    def rooted(known: DataFrame | None, met: DataFrame | None = None) -> DataFrame:
+        out = classes.select("node", "bits")
+        out = out.withColumn("root", F.col("node")) if known is None else out.join(connect(known), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        out = out.withColumn("met", F.col("node")) if met is None else out.join(met, "node", "left").withColumn("met", F.coalesce("met", "node"))
+        return out.select("node", "root", "met", "bits")
 
-    # The stars of a large group are few pairs and make one component of most of it; then only what they left apart is paired.
+    # The stars of a large group are few pairs and make one component of most of it; then only what they left apart is
+    # paired. What is near but no link would be paired in every window: the first windows gather it in groups that meet
+    # as a whole, and the other windows leave these out.
     ring = None if max_distance is None else ring_links(fps, max_distance)
-    some = long_links(rooted(ring), True)
+    cut = min(count, FIRST)
+    some = long_links(rooted(ring), 0, cut, True)
     some = some if ring is None else some.unionByName(ring)
-    rest = long_links(rooted(some), False)
-    roots = materialize(connect(some.unionByName(rest)), "roots")
+    groups_met: list[DataFrame] = []
+    rest = some.unionByName(long_links(rooted(some), 0, cut, False, groups_met))
+    if cut < count:
+        rest = rest.unionByName(long_links(rooted(rest, groups_met[0]), cut, count, False))
+    roots = materialize(connect(rest), "roots")
     member = roots.join(classes.select("node", "low"), "node")
     moved = member.join(member.groupBy("root").agg(F.min("low").alias("best")), "root").select("node", "best")
     whole = classes.select("node", "low").join(moved, "node", "left").select("node", F.coalesce("best", "low").alias("component_id"))
