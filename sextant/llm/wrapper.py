@@ -1,9 +1,9 @@
 """Main text of web pages by wrapper induction (operator 7).
 
 A page's pattern is the tree of its blocks in which like siblings are one repeated node, as lists and paragraphs
-have any number. Of each host a few pages, at least one of each set of containers while there is room, are compared by simple
-tree matching: two nodes match if their labels do, and children align in order so that the most nodes match. Pages
-whose patterns are alike share a wrapper: the nodes that half of them have, and texts that half of them repeat.
+have any number. The patterns of all pages of a host are compared by simple tree matching: two nodes match if their
+labels do, and children align in order so that the most nodes match. A pattern that no more frequent leader is like
+leads; pages like it share a wrapper: the nodes that half of them have, and texts that half of them repeat.
 Then every page of the host is aligned with the wrapper it fits best, and counted: a text that half of all pages
 repeat at a node is template, and where texts vary is a slot. The innermost container that holds most of what varies
 is the content; it, and not the mark-up's word, is where a page's main text is taken from.
@@ -22,21 +22,20 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, slices
 
-#: Pages of a host to align, pages of one set of containers among them, and the least of a wrapper; the share of common texts from which a page is a copy.
-SAMPLES, LAYOUT, LEAST, ALIKE = 24, 3, 3, 0.3
+#: The least pages of a wrapper; the share of common texts from which a page is a copy.
+LEAST, ALIKE = 3, 0.3
 #: Likeness of two patterns that share a wrapper, share of a wrapper's nodes that a page of it has, of pages that repeat a template text,
 #: and of varying text that the content holds.
 SIMILAR, FITS, REPEATED, MOST = 0.4, 0.5, 0.5, 0.6
-#: Bytes of wrappers, and rows of drawn pages, that are broadcast at most; beyond, a join by key with this many salts.
-BROADCAST_BYTES, BROADCAST_ROWS, SALTS = 32 << 20, 200_000, 16
+#: Bytes of wrappers that are broadcast at most; beyond, a join by key with this many salts.
+BROADCAST_BYTES, SALTS = 32 << 20, 16
 #: Entries that a counting task holds before it passes them on.
 HELD = 200_000
 
@@ -498,25 +497,112 @@ def main_text(page: str, wrappers: list[Wrapper] = ()) -> str:
     return "\n".join(t for _, t, _ in found)
 
 
+def likest(page: Pattern, leaders: list[Pattern]) -> tuple[int, float, list[tuple[int, int]]]:
+    """Number and likeness of the leader that is most like a page (-1: there is none), and the nodes that match."""
+    best, share, pairs = -1, 0.0, []
+    for k, w in enumerate(leaders):
+        n, found = match(w, page)
+        if 2 * n / (len(w.labels) + len(page.labels)) > share:
+            best, share, pairs = k, 2 * n / (len(w.labels) + len(page.labels)), found
+    return best, share, pairs
+
+
+def led(src: DataFrame) -> DataFrame:
+    """host and made, its leaders: of the patterns of all its pages, the most frequent first, those that no leader before is like."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            host, made = zip(*held, strict=True) if held else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(made, pa.string()), pa.array(list(held.values()), pa.int64())], ["host", "made", "n"])
+
+        for batch, values in slices(batches, "html"):
+            for v, host in zip(values, batch.column(1).to_pylist(), strict=True):
+                p = pattern(parse(v.decode("utf-8", "replace")))
+                held[host, json.dumps([p.labels, p.parents])] += 1
+            if len(held) > HELD // 20:
+                yield out()
+                held.clear()
+        yield out()
+
+    def choose(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, own = None, []
+
+        def out() -> pa.RecordBatch:
+            made = json.dumps([{"labels": p.labels, "parents": p.parents, "texts": []} for p in own])
+            return pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([made], pa.string())], ["host", "made"])
+
+        for batch in batches:
+            for host, made in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if host != name:
+                    if own:
+                        yield out()
+                    name, own = host, []
+                p = Pattern(*json.loads(made))
+                if likest(p, own)[1] < SIMILAR:
+                    own.append(p)
+        if own:
+            yield out()
+
+    made = src.where("html is not null").select("html", "host").mapInArrow(run, "host string, made string, n long")
+    ranked = made.groupBy("host", "made").agg(F.sum("n").alias("n")).repartition("host").sortWithinPartitions("host", F.desc("n"), "made")
+    return materialize(ranked.select("host", "made").mapInArrow(choose, "host string, made string"), "leaders")
+
+
 def learn(src: DataFrame) -> DataFrame:
-    """host and made, its wrappers as JSON, from (host, url, html)."""
-    tags = F.regexp_extract_all(F.lower("html"), F.lit(r"<(?:div|section|article|main|nav|aside|header|footer|table|form|td)\b[^>]*>"), F.lit(0))
-    drawn = src.where("html is not null").select("host", F.xxhash64(F.array_sort(F.array_distinct(tags))).alias("layout"), F.xxhash64("url", "html").alias("draw"))
-    first = F.row_number().over(Window.partitionBy("host", "layout").orderBy("draw"))
-    drawn = drawn.distinct().withColumn("k", first).where(f"k <= {LAYOUT}")
-    second = F.row_number().over(Window.partitionBy("host").orderBy("k", "draw"))
-    sampled = drawn.withColumn("n", second).where(f"n <= {SAMPLES}").select("draw", "n")
-    sampled = materialize(sampled.select(F.col("draw").alias("sample"), "n"), "sampled")
-    few = sampled.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    pages = src.withColumn("draw", F.xxhash64("url", "html")).join(F.broadcast(sampled) if few else sampled, F.col("draw") == F.col("sample"))
-    pages = pages.groupBy("draw").agg(F.min("host").alias("host"), F.min("html").alias("html"), F.min("n").alias("n"))  # equal pages once
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        made = induce(group.sort_values("n")["html"].tolist())
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "made": [json.dumps(made)], "some": [len(made) > 0]})
-
-    found = pages.groupBy("host").applyInPandas(run, "host string, made string, some boolean")
-    return materialize(found.where("some").select("host", "made"), "wrappers")
+    """host and made, its wrappers as JSON, from all pages (host, url, html): the nodes of a leader that half of the pages like it have, and texts that half repeat.
+
+    Pages with the same main text, as the markup has it, count once.
+    """
+    leaders = led(src)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple, tuple[int, list[tuple[int, int]]]] = {}  # pages of one pattern match alike
+        for batch, values in slices(batches, "html"):
+            rows: set[tuple] = set()
+            if len(known) > HELD // 100:
+                known.clear()
+            for v, host, made in zip(values, batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                root = parse(v.decode("utf-8", "replace"))
+                mark(root)
+                own = {x for _, x, _ in segments(region(root), True)}
+                p = pattern(root)
+                name = (host, *p.labels, *p.parents)
+                if name not in known:
+                    known[name] = likest(p, wrappers_of(made))[::2]
+                k, pairs = known[name]
+                if own and k >= 0:
+                    main, texts = digest(*sorted(own)), texts_of(p, root)
+                    for i, j in pairs:
+                        rows.add((host, k, i, None, main))
+                        rows.update((host, k, i, x, main) for x in texts[j])
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, (pa.string(), *[pa.int64()] * 4), strict=True)], ["host", "k", "node", "text", "main"])
+
+    said = with_wrappers(src, leaders).where("made is not null and html is not null").select("html", "host", "made").mapInArrow(run, "host string, k long, node long, text long, main long")
+    counts = materialize(said.distinct().groupBy("host", "k", "node", "text").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+    pages = counts.where("node = 0 and text is null").select("host", "k", F.col("n").alias("pages"))
+    kept = counts.join(pages, ["host", "k"]).where(f"pages >= {LEAST} and n >= pages * {REPEATED}")
+    whole = kept.groupBy("host").agg(F.collect_list(F.struct("k", "node", "text")).alias("kept"))  # bounded by the host's wrappers
+
+    def end(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for made, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                every, done = json.loads(made), []
+                for k in sorted({c["k"] for c in own}):
+                    leader, nodes = every[k], sorted({c["node"] for c in own if c["k"] == k and c["text"] is None})
+                    place = {i: n for n, i in enumerate(nodes)} | {-1: -1}
+                    texts: list[list[int]] = [[] for _ in nodes]
+                    for c in own:
+                        if c["k"] == k and c["text"] is not None:
+                            texts[place[c["node"]]].append(c["text"])
+                    done.append({"labels": [leader["labels"][i] for i in nodes], "parents": [place[leader["parents"][i]] for i in nodes], "texts": [sorted(x) for x in texts]})
+                out.append(json.dumps(done))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["host", "made"])
+
+    return materialize(leaders.join(whole, "host").select("host", "made", "kept").mapInArrow(end, "host string, made string"), "wrappers")
 
 
 def with_wrappers(src: DataFrame, learned: DataFrame) -> DataFrame:
