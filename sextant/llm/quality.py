@@ -25,6 +25,8 @@ GAMMA, TINY, BUCKETS = 1.02, 1e-3, 2000
 MIN_ROWS, REACH = 200, 4.0
 #: Ratio -> least spread between its quartiles.
 SPREAD = {"symbols": 0.02, "lines": 0.085, "repeats": 0.06, "length": 0.1}
+#: Bytes of text that a worker unpacks at once: arrays of a word and of a byte take many times as much.
+CHUNK = 1 << 20
 SYMBOLS = b"#*$%&|<>"
 #: Base rules: fewest words; words in repeated windows of REPEAT words, in hundredths.
 LEAST_WORDS, REPEAT, MOST_REPEATED = 20, 8, 30
@@ -76,7 +78,7 @@ def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     src = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"), docs[source_col].cast("string").alias("source"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, values in slices(batches):
+        for batch, values in slices(batches, limit=CHUNK):
             found = counts_of(values)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *map(pa.array, found.values())], ["id", "lang", "source", *found])
 
@@ -165,7 +167,7 @@ def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     bounds = materialize(limits(materialize(rows, "counts")), "limits")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, values in slices(batches, text_col):
+        for batch, values in slices(batches, text_col, CHUNK):
             found = counts_of(values)
             struct = pa.StructArray.from_arrays([pa.array(found[c]) for c in (*BASE, "n_lines")], [*BASE, "n_lines"])
             yield pa.RecordBatch.from_arrays([*batch.columns, struct], [*batch.schema.names, "own counted"])

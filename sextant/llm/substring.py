@@ -14,7 +14,8 @@ positions are, so a window whose anchors all stand in one document can't repeat
 3. Words under repeats go.
 
 Rows of one hash come as a sorted run that is read as a stream, so a passage in a third of all documents takes no
-memory, and a document with many repeats moves as one row. No pairs are made.
+memory, and a document with many repeats moves as one row. No pairs are made. Texts are unpacked CHUNK bytes at a time:
+arrays of a word and of a byte take some 60 times a chunk.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)
 _ON = np.isin(np.arange(PERIOD), COVER)
 _SECOND = 0xC2B2AE3D27D4EB4F
+#: Bytes of text that a worker unpacks at once.
+CHUNK = 1 << 20
 
 
 def _anchors(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -52,6 +55,16 @@ def _anchors(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return owner, place, rolling.of(base + place, base + place + size), wide
 
 
+def _anchor_rows(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """(a, w, id) of the anchors of (id, text), those that a text repeats once."""
+    for batch, values in slices(batches, limit=CHUNK):
+        owner, _, a, w = _anchors(words_of(values), window)
+        one = _first(owner, a, w)
+        owner, a, w = owner[one], a[one], w[one]
+        if len(owner):
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(w.view(np.int64)), pa.array(batch.column(0).to_numpy()[owner])], ["a", "w", "id"])
+
+
 def _settled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted (a, w, id) to the anchors that several documents share: (id, a, whether the extension repeats)."""
     last_a = last_w = last_id = None
@@ -159,9 +172,11 @@ def _among(owner: np.ndarray, code: np.ndarray, found_owner: np.ndarray, found:
     return out[len(found) :]
 
 
-def mark(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+def mark(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, as_is: bool = False) -> DataFrame:
     """docs with kept_text (kept words one space apart), n_words and n_removed; carry: other columns to keep.
 
+    as_is: a text that loses no word is its own kept_text, null included, and n_words and n_removed are left out.
+
     id_col must be a whole number. Null and empty texts have no words; texts of fewer words than window lose none;
     rows with the same id are one document for the comparison (neither removes from the other); a null id is a
     document of its own that is larger than all. An empty table gives an empty one.
@@ -173,12 +188,7 @@ def mark(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: st
     src = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(biggest)).alias("id"), docs[text_col].cast("string").alias("text"), *[docs[c].alias(f"c{k}") for k, c in enumerate(carry)], docs[id_col].alias(key))
 
     def anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, values in slices(batches):
-            owner, _, a, w = _anchors(words_of(values), window)
-            one = _first(owner, a, w)
-            owner, a, w = owner[one], a[one], w[one]
-            if len(owner):
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(w.view(np.int64)), pa.array(batch.column(0).to_numpy()[owner])], ["a", "w", "id"])
+        return _anchor_rows(batches, window)
 
     rows = src.select("id", "text").mapInArrow(anchors, "a long, w long, id long").repartition("a").sortWithinPartitions("a", "w", "id")
     shared = rows.mapInArrow(_settled, "id long, a long, again boolean")
@@ -187,7 +197,7 @@ def mark(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: st
     hit = joined.where("a is not null")
 
     def windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, values in slices(batches):
+        for batch, values in slices(batches, limit=CHUNK):
             words = words_of(values)
             codes, lens = _flat(batch.column(2))
             again, _ = _flat(batch.column(3))
@@ -204,7 +214,7 @@ def mark(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: st
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.select(key, *columns).schema.fields)
 
     def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, values in slices(batches):
+        for batch, values in slices(batches, limit=CHUNK):
             words = words_of(values)
             codes, lens = _flat(batch.column(2))
             again, _ = _flat(batch.column(3))
@@ -222,14 +232,17 @@ def mark(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: st
             flat = words.data.split()
             texts = []
             for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
-                texts.append(b" ".join(flat[a:b] if before[a] == before[b] else [flat[k] for k in (a + np.flatnonzero(~gone[a:b])).tolist()]))
+                if before[a] == before[b]:
+                    texts.append(values[len(texts)] if as_is else b" ".join(flat[a:b]))
+                else:
+                    texts.append(b" ".join([flat[k] for k in (a + np.flatnonzero(~gone[a:b])).tolist()]))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[5:], pa.array(texts, pa.binary()).cast(pa.string()), pa.array(words.counts), pa.array(before[words.first[1:]] - before[words.first[:-1]])],
                 [key, *columns, "kept_text", "n_words", "n_removed"],
             )
 
     def untouched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, values in slices(batches):
+        for batch, values in slices(batches, limit=CHUNK):
             split = [v.split() for v in values]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[1:], pa.array([b" ".join(s) for s in split], pa.binary()).cast(pa.string()), pa.array(list(map(len, split)), pa.int64()), pa.array(np.zeros(len(split), np.int64))],
@@ -238,16 +251,17 @@ def mark(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: st
 
     out = f"{schema}, kept_text string, n_words long, n_removed long"
     changed = hit.join(repeats, "id", "left").select("id", "text", "a", "again", "repeats", key, *columns).mapInArrow(finish, out)
-    plain = joined.where("a is null").select("text", key, *columns).mapInArrow(untouched, out)
-    whole = changed.unionByName(plain)
-    return whole.select(F.col(key).alias(id_col), *[F.col(f"c{k}").alias(c) for k, c in enumerate(carry)], "kept_text", "n_words", "n_removed")
+    plain = joined.where("a is null").select("text", key, *columns)
+    plain = plain.withColumnRenamed("text", "kept_text") if as_is else plain.mapInArrow(untouched, out)
+    whole = changed.drop("n_words", "n_removed").unionByName(plain) if as_is else changed.unionByName(plain)
+    counts = [] if as_is else ["n_words", "n_removed"]
+    return whole.select(F.col(key).alias(id_col), *[F.col(f"c{k}").alias(c) for k, c in enumerate(carry)], "kept_text", *counts)
 
 
 def remove(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the repeated words out of text_col; a text that loses none stays as it is. Every row stays."""
     others = [c for c in docs.columns if c not in (id_col, text_col)]
-    renamed = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), *[docs[c].alias(f"o{k}") for k, c in enumerate(others)], docs[text_col].alias("whole"))
-    done = mark(renamed, window, "id", "text", [*[f"o{k}" for k in range(len(others))], "whole"])
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("whole"))
-    back = {id_col: F.col("id"), text_col: text} | {c: F.col(f"o{k}") for k, c in enumerate(others)}
+    renamed = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), *[docs[c].alias(f"o{k}") for k, c in enumerate(others)])
+    done = mark(renamed, window, "id", "text", [f"o{k}" for k in range(len(others))], as_is=True)
+    back = {id_col: F.col("id"), text_col: F.col("kept_text")} | {c: F.col(f"o{k}") for k, c in enumerate(others)}
     return done.select(*[back[c].alias(c) for c in docs.columns])
