@@ -13,12 +13,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -316,18 +318,68 @@ class WordBpe(Parts):
         super().__init__(path, suffix)
         #: The file's pattern on lower-case ASCII; a space keeps parts apart.
         self.ascii = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+| ", regex.ASCII)
+        #: A word of small letters that normalising leaves alone, with signs (no apostrophe) before and after it: a piece each.
+        self.simple = re.compile(r"([!-&(-/:-@\[-`{-~]*)([a-z\xdf-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
-    def cut(self, text: str) -> list[str] | None:
+    def lower(self, text: str) -> str | None:
+        """text with small letters where that changes no ids; None if it can't be cut."""
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return None  # white space to split() only
-        return (text.lower() if text.isascii() and "<|" not in text else text).split()
+        if "<|" in text:
+            return text
+        if not text.isascii():
+            try:
+                text.encode("latin-1")  # composed letters only
+            except UnicodeEncodeError:
+                return text
+        return text.lower()
 
     def whole(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Texts are cut and their parts numbered as columns; Python sees each different part of a call once."""
+        lowered = list(map(self.lower, texts))
+        lists = pc.utf8_split_whitespace(pa.array(["" if t is None else t for t in lowered], pa.large_string()))
+        coded = lists.flatten().dictionary_encode()
+        names, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        new = [p for p in names if p not in self.parts]
+        if len(self.parts) + 2 * len(new) > KEPT:
+            self.parts, new = {}, names
+        self.learn(new)
+        found = list(map(self.parts.__getitem__, names))
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        start = np.cumsum(size) - size
+        many = size[at]
+        ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(many)))
+        ids = np.frombuffer(b"".join(found), "<u4")[np.arange(ends[-1]) + np.repeat(start[at] - ends[:-1], many)]
+        bounds = ends[lists.offsets.to_numpy()].tolist()
+        for p in new:
+            if len(p) > 64:
+                del self.parts[p]
+        return [self.whole(t) if low is None else ids[a:b].tobytes() for t, low, a, b in zip(texts, lowered, bounds, bounds[1:], strict=False)]
+
     def learn(self, parts: list[str]) -> None:
         plain, other = [], []
-        for p in parts:
+        own, joined, rest, simple = set(parts), " ".join(parts), parts, []
+        if not any(s in joined for s in self.special):
+            rest = []
+            for p in parts:
+                m = self.simple(p)
+                if m:
+                    simple.append(m)
+                else:
+                    rest.append(p)
+        stems = list({m[2] for m in simple} - self.parts.keys())
+        self.parts.update(zip(stems, self.merges.batch([p.encode() for p in stems]), strict=True))
+        signed = [m.groups() for m in simple if m[1] or m[3]]
+        signs = list({x for a, _, b in signed for x in (a, b)})
+        ids = dict(zip(signs, self.of_pieces([[x.encode()] for x in signs]), strict=True))
+        self.parts.update((a + w + b, ids[a] + self.parts[w] + ids[b]) for a, w, b in signed)
+        for p in stems:
+            if len(p) > 64 and p not in own:
+                del self.parts[p]
+        for p in rest:
             if any(s in p for s in self.special):
                 self.parts[p] = self.whole(p)
             else:
