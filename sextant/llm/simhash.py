@@ -20,10 +20,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, materialize, slices, words_of
+from .common import free_name, materialize, slices, trim, words_of
 
 #: Seed of XXH64.
 SEED = 42
+#: Links that meet in one task at most (16 bytes each); more are connected in steps over written tables.
+LINKS = 1 << 20
 
 
 def fingerprints_of(values: list[bytes], shingle: int) -> np.ndarray:
@@ -167,13 +169,30 @@ def links(fps: DataFrame, max_distance: int = 3) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def rooted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each node of all links v-u, with the smallest node of its component."""
+    links = [[b.column(k).to_numpy() for k in range(2)] for b in batches if b.num_rows]
+    if links:
+        v, u = map(np.concatenate, zip(*links, strict=True))
+        links.clear()
+        node, at = np.unique(np.concatenate((v, u)), return_inverse=True)
+        root = node[forest(len(node), at[: len(v)], at[len(v) :])]
+        for k in range(0, len(node), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(node[k : k + (1 << 16)]), pa.array(root[k : k + (1 << 16)])], ["node", "root"])
+    trim()
+
+
 def connect(edges: DataFrame) -> DataFrame:
     """node and root, the smallest node of its component, for the nodes of edges a-b (numbers).
 
-    Alternating large-star and small-star steps: each keeps the components and shortens paths, until every edge
-    points at its root. Every step is a written table, so a lost executor costs one step.
+    Up to LINKS links meet in one task. More take alternating large-star and small-star steps: each keeps the components and
+    shortens paths, until every edge points at its root. Every step is a written table, so a lost executor costs one
+    step; but it is two queries of many exchanges, and the driver's memory grows with these whatever the number of links.
     """
     now = materialize(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u <> v").distinct(), "links")
+    if now.count() <= LINKS:
+        kind = now.schema["v"].dataType.simpleString()
+        return now.coalesce(1).mapInArrow(rooted, f"node {kind}, root {kind}")
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -337,8 +337,9 @@ def dense_links(dense: DataFrame, classes: DataFrame, src: DataFrame, check: int
     first = dense.groupBy("key").agg(F.min("a").alias("rep"))
     cluster = connect(dense.join(first, "key").select("a", F.col("rep").alias("b")).where("a <> b").distinct()).withColumnRenamed("root", "cluster")
     nodes = dense.select(F.col("a").alias("node"), F.col("b").alias("root")).distinct()
-    sets = materialize(sets_of(nodes.select("node"), src, classes, shingle, rounds), "sets")
-    rows = nodes.join(cluster, "node").join(only(classes, nodes).select("node", "bits", (F.col("n") >= LONG).alias("long")), "node").join(sets, "node")
+    own = only(classes, nodes)
+    sets = materialize(sets_of(own, src, shingle, rounds), "sets")
+    rows = nodes.join(cluster, "node").join(own.select("node", "bits", (F.col("n") >= LONG).alias("long")), "node").join(sets, "node")
     rows = materialize(rows.withColumn("size", F.length("bits") + F.length("hashes")), "dense-rows")
     small = rows.groupBy("cluster").agg(F.sum("size").alias("whole")).select("cluster", (F.col("whole") <= GROUP).alias("small"))
     whole = rows.join(small, "cluster")
@@ -389,7 +390,7 @@ def dense_links(dense: DataFrame, classes: DataFrame, src: DataFrame, check: int
 
 def few(rows: DataFrame) -> bool:
     """Whether a written table is small enough to go to every executor."""
-    return rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return rows.count() <= BROADCAST_ROWS  # from the footers of its files
 
 
 def only(classes: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -417,10 +418,10 @@ def sorted_out(pairs: DataFrame, classes: DataFrame, sure: int, most: int) -> Da
     return both.select("a", "b", "x", "y", (F.least("m", "n") >= LONG).alias("long")).mapInArrow(run, "a long, b long, sure boolean")
 
 
-def sets_of(nodes: DataFrame, src: DataFrame, classes: DataFrame, shingle: int, rounds: int) -> DataFrame:
-    """Columns node, hashes: sorted shingle hashes, 8 bytes each, of the classes in column node."""
-    # as a table of its own its size is known: if it is small it goes to the texts, and they stay where they are
-    first = materialize(only(classes, nodes).select("low"), "low")
+def sets_of(own: DataFrame, src: DataFrame, shingle: int, rounds: int) -> DataFrame:
+    """Columns node, hashes: sorted shingle hashes, 8 bytes each, of the classes in a written table."""
+    # if it is small it goes to the texts, and they stay where they are
+    first = own.select("low")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, values in slices(batches, limit=1 << 20):
@@ -431,7 +432,7 @@ def sets_of(nodes: DataFrame, src: DataFrame, classes: DataFrame, shingle: int,
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in bits], pa.binary()), pa.array(hashes, pa.binary())], ["bits", "hashes"])
 
     # Rows may share an id, so the class of a text is found from its bits again.
-    first = F.broadcast(first) if few(first) else first
+    first = F.broadcast(first) if few(own) else first
     texts = src.join(first, src["id"].eqNullSafe(first["low"]), "left_semi").select("text")
     return texts.mapInArrow(run, "bits binary, hashes binary").groupBy(F.xxhash64("bits").alias("node")).agg(F.min("hashes").alias("hashes"))
 
@@ -493,11 +494,14 @@ def groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: s
         found = materialize(candidates(of, check, width, begin, end, first), "pairs")
         near = materialize(sorted_out(found.where("key is null").select("a", "b"), classes, sure, most), "near")
         unsure = near.where(~F.col("sure")).select("a", "b")
-        ends = unsure.select(F.explode(F.array("a", "b")).alias("node"))
-        sets = materialize(sets_of(ends, src, classes, shingle, rounds), "sets")
-        known = near.where("sure").select("a", "b").unionByName(alike(unsure, sets, similarity))
-        if not first:
-            known = known.unionByName(dense_links(found.where("key is not null"), classes, src, check, sure, most, similarity, shingle, rounds, met))
+        known = near.where("sure").select("a", "b")
+        # every query takes threads and memory of the driver, also where it has no row
+        if not unsure.isEmpty():
+            own = only(classes, unsure.select(F.explode(F.array("a", "b")).alias("node")))
+            known = known.unionByName(alike(unsure, materialize(sets_of(own, src, shingle, rounds), "sets"), similarity))
+        dense = found.where("key is not null")
+        if not first and not dense.isEmpty():
+            known = known.unionByName(dense_links(dense, classes, src, check, sure, most, similarity, shingle, rounds, met))
         return materialize(known, "found")
 
     def rooted(known: DataFrame | None, met: DataFrame | None = None) -> DataFrame:
@@ -516,7 +520,7 @@ def groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: s
     groups_met: list[DataFrame] = []
     rest = some.unionByName(long_links(rooted(some), 0, cut, False, groups_met))
     if cut < count:
-        rest = rest.unionByName(long_links(rooted(rest, groups_met[0]), cut, count, False))
+        rest = rest.unionByName(long_links(rooted(rest, *groups_met), cut, count, False))
     roots = materialize(connect(rest), "roots")
     member = roots.join(classes.select("node", "low"), "node")
     moved = member.join(member.groupBy("root").agg(F.min("low").alias("best")), "root").select("node", "best")
